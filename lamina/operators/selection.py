@@ -17,6 +17,7 @@ from ..errors import ValidationError
 from ..functions.counters import chars
 from ..functions.exprs import slice_uuid_py
 from ..grid import DEFAULT_GRID, Grid
+from ..sources.shared import materialise
 from . import forest as forests
 from .retrieval import closure_keys, fetch, tier_interleave
 from .slicing import KEY
@@ -175,6 +176,8 @@ def run_trade_up(packed: DataFrame, closure: DataFrame, queries: DataFrame, grid
         refusals = [r | {"target": _ref(r["target"])} for r in refusals]
         return pd.DataFrame({"query_id": [first.query_id], "results": [results], "trade_ups": [trades], "rejections": [refusals]})
 
+    # Both sides may come from the same plan: one side's columns get identities of their own.
+    closure = closure.select(*(F.col(c).alias(c) for c in closure.columns))
     schema = f"query_id {q_type}, results array<struct<{', '.join(_typed(RESULT))}>>, {TRACE}"
     return left.groupBy("query_id").cogroup(closure.groupBy("query_id")).applyInPandas(kernel, schema)
 
@@ -215,7 +218,7 @@ def select(
     if strategy == "dedupe_only":
         queries = queries.withColumn("budget", F.lit(None).cast("int"))
     opts = queries.select("query_id", "overhead", "trust_stored_counts", F.col("max_slice_size").alias("_max"), F.col("expansion").alias("_expansion"))
-    fused = fusion(hits)
+    fused = materialise(fusion(hits), "fused")
     facts = ["point_id", "codepoint_length", "document_codepoint_length", "own_marker", "descendant_markers"]
     if "token_count" not in fused.columns:
         fused = fused.withColumn("token_count", F.lit(None).cast("int"))
@@ -225,15 +228,16 @@ def select(
 
     own = costed(fused)
     forest, anomalies = forests.build_forest(fused, grid)
+    forest = materialise(forest, "forest")
     classes = dedup_classes(fused, forest, grid).join(own.select(*Q, *facts, "cost"), Q)
-    tried = pack(classes, queries)
+    tried = materialise(pack(classes, queries), "packed")
     retrieved = own.select(*Q, *facts, "cost", "score", "rank", "fused_rank", F.lit("retrieved").alias("found"))
     closure = retrieved
     if slices is not None:
         wanted = closure_keys(fused, grid)
         got = costed(fetch(wanted, slices if "token_count" in slices.columns else slices.withColumn("token_count", F.lit(None).cast("int"))))
         closure = retrieved.unionByName(got.select(*Q, *facts, "cost", F.lit("fetched").alias("found")), allowMissingColumns=True)
-    traded = run_trade_up(tried.where("packed"), closure, queries, grid, corpus)
+    traded = materialise(run_trade_up(tried.where("packed"), closure, queries, grid, corpus), "traded")
     flat = traded.select("query_id", F.explode("results").alias("r")).select("query_id", "r.*")
     selection = finalize(flat)
     trace = _trace(queries, fused, forest, anomalies, classes, tried, traded, grid)

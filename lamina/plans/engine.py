@@ -15,6 +15,7 @@ from ..grid import DEFAULT_GRID, Grid
 from ..operators import retrieval, selection
 from ..operators.slicing import check_text, slice_documents
 from ..sources.catalog import Catalog, CorpusConfig
+from ..sources.shared import materialise
 
 
 @dataclass(frozen=True)
@@ -177,7 +178,7 @@ class Engine:
             present = set(config.sizes)
         vectors = queries.withColumn("vector", self.embedder.column(F.col("query")))
         found = retrieval.search(vectors, slices.where(F.col("size").isin(*asked)), k, keep=("document_id", "codepoint_offset"))
-        hits = retrieval.attach(found, slices).persist()
+        hits = materialise(retrieval.attach(found, slices), "hits")
         fanout = retrieval.fan_out(asked, hits, present)
         options = selection.with_options(queries.drop("query"), budget, expansion, max_slice_size, overhead, counter == config.token_counter_id)
         options = options.withColumn("budget", F.when(F.col("budget").isNotNull(), F.least("budget", F.lit(self.settings.max_budget))))

@@ -12,6 +12,7 @@ from ..functions.exprs import fake_vector, pack_markers, unpack_markers
 from ..grid import DEFAULT_GRID
 from ..operators import evaluation, forest, retrieval, selection, slicing
 from ..sources import catalog
+from ..sources.shared import materialise
 
 GRID, DIM, K, BUDGET = DEFAULT_GRID, 32, 10, 3_000
 KEY = slicing.KEY
@@ -36,7 +37,7 @@ def query_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = slices(spark, sf_dir, with_descendants=False).select(*KEY, "point_id", fake_vector(F.col("text"), DIM).alias("vector"))
     out = retrieval.search(query_batch(spark, sf_dir), points, K, keep=("document_id", "codepoint_offset"))
-    kept = out.persist()
+    kept = materialise(out, "found")
     kept._lamina_bound = out._lamina_bound
     return kept
 
@@ -51,7 +52,7 @@ def hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(hits with all slice columns, the slices of their documents)."""
     keys = found(spark, sf_dir)
     own = hit_slices(spark, sf_dir, keys)
-    return retrieval.attach(keys, own).persist(), own
+    return materialise(retrieval.attach(keys, own), "hits"), own
 
 
 def slice_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
