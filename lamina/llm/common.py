@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import materialise, release, shared_dir
+
+__all__ = ["materialise", "release", "shared_dir"]
+
 #: White space of the word rule `[^\x20\x09-\x0D]+`.
 SPACE_CLASS = r"[^\x20\x09-\x0D]+"
 
@@ -24,43 +24,6 @@ ALNUM_TABLE = bytes(
     for b in range(256)
 )
 
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which driver and executors share.
-
-    Only where the setting is absent (a single machine, as in tests) an own temporary folder is made.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="lamina-"))
-        atexit.register(shutil.rmtree, _own[0], True)
-    return f"file://{_own[0]}"
-
-
-def materialise(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lamina/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lamina_path = path
-    return out
-
-
-def release(*tables: DataFrame) -> None:
-    """Delete tables that materialise() wrote and nothing reads any more."""
-    for df in tables:
-        path = getattr(df, "_lamina_path", None)
-        if path:
-            spark = df.sparkSession
-            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
