@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +23,7 @@ from .common import join_sized, materialise
 from .toxicity import training_rows
 
 #: The fit's sample of labelled rows, the score from which a document is kept, and the largest broadcast table of sites.
-SAMPLE_ROWS, THRESHOLD, SITES = 16_000, 0.5, 100_000
+SAMPLE_ROWS, THRESHOLD, SITES = 10_000, 0.5, 100_000
 #: Strength of a site's prior, in documents, is held between these.
 STRENGTH = (2.0, 10_000.0)
 
@@ -74,10 +74,11 @@ def expand(z: np.ndarray) -> np.ndarray:
     return np.concatenate([np.ones((len(z), 1)), z, z[:, i] * z[:, j]], axis=1)
 
 
-def fit(rows: Sequence[tuple[bytes, int]]) -> Model:
-    """Ridge logistic regression by Newton's method."""
-    x = np.array([features(t) for t, _ in rows], dtype=np.float64).reshape(-1, N_FEATURES)
-    y = np.array([v for _, v in rows], dtype=np.float64)
+def fit(rows: Iterable[tuple[bytes, int]]) -> Model:
+    """Ridge logistic regression by Newton's method; of each text only its features are held."""
+    seen = [(features(t), y) for t, y in rows]
+    x = np.array([f for f, _ in seen], dtype=np.float64).reshape(-1, N_FEATURES)
+    y = np.array([v for _, v in seen], dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(1 + N_FEATURES + N_FEATURES * (N_FEATURES + 1) // 2), 2.0)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM_TABLE, as_bytes, crc_mod, map_batches
 
-#: Bounds of the fit: labelled rows used (those of the smallest hashed ids), and scored words, starts kept.
-SAMPLE_ROWS, FEATURES = 24_000, 60_000
+#: Bounds of the fit: labelled rows used (those of the smallest hashed ids) and their bytes of text; scored words, starts kept.
+SAMPLE_ROWS, SAMPLE_BYTES, FEATURES = 6_000, 32 << 20, 60_000
 #: A text is called toxic from this score on.
 THRESHOLD = 0.7
 
@@ -156,17 +156,21 @@ def evidence(segs: list[tuple[int, int, float]], n: int, model: Model) -> float:
     return max(-2.0, s[0] + 0.5 * sum(x for x in s[1:4] if x > 0))
 
 
-def fit(rows: Sequence[tuple[bytes, int]]) -> Model:
+def fit(rows: Iterable[tuple[bytes, int]]) -> Model:
     """Words, drift, extreme-value law and calibration from labelled texts.
 
     Two folds: each half's texts are scored with word scores of the other, so that the law and the
     calibration see honest evidence; the words of the final model come from all rows.
     """
-    parsed = [(tokens_of(t), int(y)) for t, y in rows]
+    rows = list(rows)
+
+    def parsed(part) -> Iterator[tuple[list[bytes], int]]:
+        """Texts are cut into words anew in each pass, so that one text's words are held at a time."""
+        return ((tokens_of(t), int(y)) for t, y in part)
 
     def counts(part) -> tuple[Counter, Counter]:
         t, c = Counter(), Counter()
-        for w, y in part:
+        for w, y in parsed(part):
             # A text counts a word a few times at most: one repetitive text is not evidence of many.
             own = Counter(w)
             (t if y else c).update({k: min(n, 3) for k, n in own.items()})
@@ -174,7 +178,7 @@ def fit(rows: Sequence[tuple[bytes, int]]) -> Model:
 
     def law(words: dict, stems: dict, part) -> Model:
         raw = Model(words, stems, 0.0, 1.0, 1.0, 1.0, 0.0)
-        clean = [token_scores(w, raw) for w, y in part if not y and w]
+        clean = [token_scores(w, raw).astype(np.float32) for w, y in parsed(part) if not y and w]
         all_clean = np.concatenate(clean) if clean else np.zeros(1)
         drift = max(0.5, float(all_clean.mean()) + 0.5)
         shifted = all_clean - drift
@@ -184,18 +188,18 @@ def fit(rows: Sequence[tuple[bytes, int]]) -> Model:
         k = math.exp(float(np.mean([lam * m - 0.5772 - math.log(n) for m, n in best]))) if best else 1.0
         return Model(words, stems, drift, lam, max(k, 1e-6), 1.0, 0.0)
 
-    halves = [parsed[0::2], parsed[1::2]]
+    halves = [rows[0::2], rows[1::2]]
     xs, ys, laws = [], [], []
     for own, other in (halves, halves[::-1]):
         m = law(*log_odds(*counts(other)), own)
-        laws.append(m)
-        for w, y in own:
+        laws.append((m.drift, m.lam, math.log(m.k)))
+        for w, y in parsed(own):
             xs.append(evidence(segments(token_scores(w, m)), len(w), m))
             ys.append(y)
     slope, bias = logistic(np.array(xs), np.array(ys, dtype=np.float64))
-    words, stems = log_odds(*counts(parsed))
-    mean = lambda f: float(np.mean([f(m) for m in laws])) if laws else 1.0
-    return Model(words, stems, mean(lambda m: m.drift), mean(lambda m: m.lam), math.exp(mean(lambda m: math.log(m.k))), slope, bias)
+    words, stems = log_odds(*counts(rows))
+    drift, lam, log_k = np.mean(laws, axis=0).tolist()
+    return Model(words, stems, drift, lam, math.exp(log_k), slope, bias)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float]:
@@ -226,10 +230,13 @@ def score_text(text: bytes, model: Model) -> tuple[float, list[tuple[int, int, f
     return score, [s for s in segs if model.lam * s[2] > level]
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> list[tuple[bytes, int]]:
-    """At most `rows` labelled texts whose crc32(id) mod 3 is not 1, those of the smallest hashed ids.
+def training_rows(
+    documents: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES
+) -> Iterator[tuple[bytes, int]]:
+    """Labelled texts whose crc32(id) mod 3 is not 1, in order of hashed ids: at most `rows`, and at most `most_bytes` of
+    text (a text that would exceed what is left is passed over).
 
-    An id with several labels takes the largest. Ids are picked before texts are read.
+    An id with several labels takes the largest; of several texts the first in order. Ids are picked before texts are read.
     """
     ids = (
         labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_y"))
@@ -237,16 +244,22 @@ def training_rows(documents: DataFrame, labels: DataFrame, label: str, id_col: s
         .groupBy("_id").agg(F.max("_y").alias("_y"))
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(rows)
-    )
+    )
     picked = ids.collect()  # at most `rows` pairs of numbers
     small = F.broadcast(documents.sparkSession.createDataFrame([(r[0], r[1]) for r in picked], "_id long, _y int"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     got = (
         documents.select(F.col(id_col).cast("long").alias("_id"), text.alias("_t"))
+        .where(F.octet_length(text) <= most_bytes)
         .join(small, "_id")
         .groupBy("_id").agg(F.min("_t").alias("_t"), F.max("_y").alias("_y"))
-    )
-    return [(r["_t"].encode(), r["_y"]) for r in got.orderBy("_id").toLocalIterator()]
+    )
+    left = most_bytes
+    for r in got.orderBy(F.xxhash64("_id"), "_id").toLocalIterator():
+        text_ = r["_t"].encode()
+        if len(text_) <= left:
+            left -= len(text_)
+            yield text_, r["_y"]
 
 
 def toxicity_model(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
