@@ -49,8 +49,20 @@ def rows_out(rows: list[dict]) -> dict:
     return {k: [r[k] for r in rows] for k in ("kind", "chunk", "bucket", "a", "b", "c", "d")}
 
 
-def chunk_rows(chunk: int, docs: list[tuple[int | None, bytes]], buckets: int) -> Iterator[dict]:
-    """A `docs` row (ids, token counts, held-out and null flags, tokens) and `words` rows (hashes, training counts) by bucket."""
+def planes(x: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers, all lowest bytes first, then the next: small numbers leave runs of zeros."""
+    return np.ascontiguousarray(np.ascontiguousarray(x, dtype="<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def chunk_row(chunk: int, docs: list[tuple[int | None, bytes]], buckets: int) -> dict:
+    """ids: ids and flags (1 held out, 2 null); lengths and tokens of the documents; hashes and training counts of the words.
+
+    Words are numbered by their frequency in the chunk. places: where each stands in order of bucket and hash.
+    """
     place: dict[bytes, int] = {END: 0}
     tokens: list[np.ndarray] = []
     for _, text in docs:
@@ -58,20 +70,28 @@ def chunk_rows(chunk: int, docs: list[tuple[int | None, bytes]], buckets: int) -
         tokens.append(np.array([place.setdefault(w, len(place)) for w in words] + [0], dtype=np.uint32))
     h = xxhash.xxh64_intdigest
     hashes = np.fromiter((h(w) for w in place), np.uint64, len(place))
-    order = np.lexsort((hashes, hashes % np.uint64(buckets)))
+    lengths = np.array([len(t) for t in tokens], dtype=np.int64)
+    flat = np.concatenate(tokens)
+    order = np.argsort(-np.bincount(flat, minlength=len(place)), kind="stable")
     rank = np.empty(len(order), dtype=np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
-    hashes = hashes[order]
-    lengths = np.array([len(t) for t in tokens], dtype=np.int64)
-    flat = rank[np.concatenate(tokens)]
+    hashes, flat = hashes[order], rank[flat]
     held = np.array([zlib.crc32(b"" if d is None else str(d).encode()) % 10 == 0 for d, _ in docs])
     counts = np.bincount(flat[np.repeat(~held, lengths)], minlength=len(hashes))
     flags = held.astype(np.uint8) + 2 * np.array([d is None for d, _ in docs], dtype=np.uint8)
-    ends = int(rank[0])
-    yield row("docs", chunk, -1, i8([d or 0 for d, _ in docs]) + flags.tobytes(), u4(lengths), u4(flat), u4([ends, len(hashes)]))
-    bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-    for b, a, z in runs(bucket):
-        yield row("words", chunk, b, hashes[a:z].astype("<u8").tobytes(), u4(counts[a:z]))
+    places = np.empty(len(hashes), dtype=np.int64)
+    places[np.lexsort((hashes, hashes % np.uint64(buckets)))] = np.arange(len(hashes))
+    return {
+        "chunk": chunk, "ids": i8([d or 0 for d, _ in docs]) + flags.tobytes(), "lengths": planes(lengths), "tokens": planes(flat),
+        "hashes": hashes.astype("<u8").tobytes(), "counts": planes(counts), "places": planes(places), "ends": int(rank[0]),
+    }
+
+
+def bucket_runs(hashes: np.ndarray, places: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The words in order of bucket and hash, and each bucket's stretch of them."""
+    order = np.empty(len(places), dtype=np.int64)
+    order[places] = np.arange(len(places))
+    return order, list(runs((hashes[order] % np.uint64(buckets)).astype(np.int64)))
 
 
 def runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -82,15 +102,19 @@ def runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
             yield int(sorted_values[a]), a, z
 
 
-def docs_of(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int, int]:
-    """ids, flags, lengths, tokens, the end's number, the number of words."""
-    lengths = np.frombuffer(r["b"], "<u4").astype(np.int64)
+def docs_of(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, flags, lengths, tokens."""
+    lengths = from_planes(r["lengths"]).astype(np.int64)
     n = len(lengths)
-    end, words = np.frombuffer(r["d"], "<u4").tolist()
-    return np.frombuffer(r["a"][: 8 * n], "<i8"), np.frombuffer(r["a"][8 * n :], np.uint8), lengths, np.frombuffer(r["c"], "<u4"), end, words
+    return np.frombuffer(r["ids"][: 8 * n], "<i8"), np.frombuffer(r["ids"][8 * n :], np.uint8), lengths, from_planes(r["tokens"])
+
+
+CHUNKS = "chunk long, ids binary, lengths binary, tokens binary, hashes binary, counts binary, places binary, ends long"
 
 
 def encode(documents: DataFrame, buckets: int, id_col: str, text_col: str, chunk_bytes: int) -> DataFrame:
+    """One row a chunk, written once."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         part, made = TaskContext.get().partitionId(), 0
         docs: list = []
@@ -100,13 +124,27 @@ def encode(documents: DataFrame, buckets: int, id_col: str, text_col: str, chunk
                 docs.append((d, t))
                 size += len(t) + 64
                 if size >= chunk_bytes:
-                    yield rows_out(list(chunk_rows((part << 24) + made, docs, buckets)))
+                    yield {k: [v] for k, v in chunk_row((part << 24) + made, docs, buckets).items()}
                     docs, size, made = [], 0, made + 1
         if docs:
-            yield rows_out(list(chunk_rows((part << 24) + made, docs, buckets)))
+            yield {k: [v] for k, v in chunk_row((part << 24) + made, docs, buckets).items()}
 
     own = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return materialise(map_batches(own, run, ROWS), "lm-chunks")
+    return materialise(map_batches(own, run, CHUNKS), "lm-chunks")
+
+
+def word_rows(chunks: DataFrame, buckets: int) -> DataFrame:
+    """`words` rows: each chunk's hashes and training counts, by bucket."""
+
+    def split(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in it:
+            for r in batch.to_pylist():
+                h, c = np.frombuffer(r["hashes"], "<u8"), from_planes(r["counts"])
+                order, found = bucket_runs(h, from_planes(r["places"]), buckets)
+                h, c = h[order], c[order]
+                yield rows_out([row("words", r["chunk"], b, h[a:z].tobytes(), planes(c[a:z])) for b, a, z in found])
+
+    return map_batches(chunks.select("chunk", "hashes", "counts", "places"), split, ROWS)
 
 
 def totals(words: DataFrame, head: int) -> tuple[int, int, list[tuple[int, int]]]:
@@ -130,7 +168,7 @@ def totals(words: DataFrame, head: int) -> tuple[int, int, list[tuple[int, int]]
 
 def merged(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
     """Distinct hashes of a bucket, their summed counts, and each chunk's places in them."""
-    parts = [(r["chunk"], np.frombuffer(r["a"], "<u8"), np.frombuffer(r["b"], "<u4")) for r in rows if r["kind"] == "words"]
+    parts = [(r["chunk"], np.frombuffer(r["a"], "<u8"), from_planes(r["b"])) for r in rows if r["kind"] == "words"]
     if not parts:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), {}
     h, inverse = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
@@ -148,44 +186,46 @@ def neighbours(lengths: np.ndarray, tokens: np.ndarray, end: int, keep: np.ndarr
     return before[mask], tokens[mask]
 
 
-def local_class(words: list[dict], n: int, ids: np.ndarray, classes: np.ndarray, missing: int) -> np.ndarray:
+def local_class(h: np.ndarray, ids: np.ndarray, classes: np.ndarray, missing: int) -> np.ndarray:
     """For each word of a chunk the class of its hash in (sorted ids, classes), or `missing`."""
-    h = np.concatenate([np.frombuffer(r["a"], "<u8") for r in sorted(words, key=lambda r: r["bucket"])]) if words else np.zeros(0, np.uint64)
-    assert len(h) == n
     if not len(ids):
-        return np.full(n, missing)
+        return np.full(len(h), missing)
     at = np.minimum(np.searchsorted(ids, h), len(ids) - 1)
     return np.where(ids[at] == h, classes[at], missing)
 
 
 def head_bigrams(chunks: DataFrame, head: np.ndarray) -> np.ndarray:
-    """Training bigram counts among the head words (last row and column: all others). One matrix a group of chunks,
-    then sums: what reaches the driver is a fixed number of matrices of a fixed size."""
+    """Training bigram counts among the head words (last row and column: all others). Each task adds up its chunks,
+    a few groups add up tasks: what reaches the driver is a fixed number of matrices of a fixed size."""
     size = len(head) + 1
     held = chunks.sparkSession.sparkContext.broadcast(head)
 
-    def count(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        chunk = next(r for r in rows if r["kind"] == "docs")
-        _, flags, lengths, tokens, end, n = docs_of(chunk)
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        total = np.zeros(size * size, dtype=np.int64)
         ids = held.value
-        cls = local_class([r for r in rows if r["kind"] == "words"], n, ids, np.arange(len(ids)), len(ids))
-        a, b = neighbours(lengths, tokens, end, flags % 2 == 0)
-        key, m = np.unique(cls[a].astype(np.int64) * size + cls[b], return_counts=True)
-        return pa.table({"g": pa.array([chunk["chunk"] % 97], pa.int64()), "k": pa.array([i8(key)], pa.binary()), "m": pa.array([i8(m)], pa.binary())})
+        for batch in it:
+            for r in batch.to_pylist():
+                _, flags, lengths, tokens = docs_of(r)
+                cls = local_class(np.frombuffer(r["hashes"], "<u8"), ids, np.arange(len(ids)), len(ids))
+                a, b = neighbours(lengths, tokens, r["ends"], flags % 2 == 0)
+                total += np.bincount(cls[a].astype(np.int64) * size + cls[b], minlength=size * size)
+        key = np.flatnonzero(total)
+        yield {"g": [TaskContext.get().partitionId() % 64], "k": [i8(key)], "m": [i8(total[key])]}
 
     def add(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        key, inverse = np.unique(np.concatenate([np.frombuffer(r["k"], "<i8") for r in rows]), return_inverse=True)
-        m = np.bincount(inverse, weights=np.concatenate([np.frombuffer(r["m"], "<i8") for r in rows]))
-        return pa.table({"g": pa.array([rows[0]["g"] % 8], pa.int64()), "k": pa.array([i8(key)], pa.binary()), "m": pa.array([i8(m)], pa.binary())})
+        total = np.zeros(size * size, dtype=np.int64)
+        for r in rows:
+            total[np.frombuffer(r["k"], "<i8")] += np.frombuffer(r["m"], "<i8")
+        key = np.flatnonzero(total)
+        return pa.table({"g": pa.array([rows[0]["g"] % 8], pa.int64()), "k": pa.array([i8(key)], pa.binary()), "m": pa.array([i8(total[key])], pa.binary())})
 
     schema = "g long, k binary, m binary"
-    counted = chunks.groupBy("chunk").applyInArrow(count, schema)
+    counted = map_batches(chunks.select("chunk", "ids", "lengths", "tokens", "hashes", "ends"), count, schema)
     added = counted.groupBy("g").applyInArrow(add, schema).groupBy("g").applyInArrow(add, schema)
     out = np.zeros(size * size, dtype=np.int64)
     for r in added.toLocalIterator():
-        np.add.at(out, np.frombuffer(r["k"], "<i8"), np.frombuffer(r["m"], "<i8"))
+        out[np.frombuffer(r["k"], "<i8")] += np.frombuffer(r["m"], "<i8")
     return out.reshape(size, size)
 
 
@@ -246,28 +286,27 @@ def context_rows(chunks: DataFrame, ids: np.ndarray, of: np.ndarray, classes: in
     """
     held = chunks.sparkSession.sparkContext.broadcast((ids, of))
 
-    def count(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        chunk = next(r for r in rows if r["kind"] == "docs")
-        words = sorted((r for r in rows if r["kind"] == "words"), key=lambda r: r["bucket"])
-        _, flags, lengths, tokens, end, n = docs_of(chunk)
-        cls = local_class(words, n, *held.value, classes)
-        a, b = neighbours(lengths, tokens, end, flags % 2 == 0)
-        ca, cb = cls[a], cls[b]
-        after, before = (ca < classes) & (cb == classes), (ca == classes) & (cb < classes)
-        key, m = np.unique(
-            np.concatenate([b[after].astype(np.int64) * (2 * classes) + ca[after], a[before].astype(np.int64) * (2 * classes) + classes + cb[before]]),
-            return_counts=True,
-        )
-        out = []
-        first = np.cumsum([0, *(len(r["a"]) // 8 for r in words)])
-        cuts = np.searchsorted(key, first * (2 * classes))
-        for r, base, x, z in zip(words, first, cuts, cuts[1:], strict=False):
-            if z > x:
-                out.append(row("contexts", chunk["chunk"], r["bucket"], u4(key[x:z] // (2 * classes) - base), (key[x:z] % (2 * classes)).astype(np.uint8).tobytes(), u4(m[x:z])))
-        return pa.table({k: pa.array([r[k] for r in out], t) for k, t in ARROW})
-
-    return chunks.groupBy("chunk").applyInArrow(count, ROWS)
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        wide = 2 * classes
+        for batch in it:
+            for r in batch.to_pylist():
+                _, flags, lengths, tokens = docs_of(r)
+                h, places = np.frombuffer(r["hashes"], "<u8"), from_planes(r["places"]).astype(np.int64)
+                cls = local_class(h, *held.value, classes)
+                a, b = neighbours(lengths, tokens, r["ends"], flags % 2 == 0)
+                ca, cb = cls[a], cls[b]
+                after, before = (ca < classes) & (cb == classes), (ca == classes) & (cb < classes)
+                key, m = np.unique(np.concatenate([places[b[after]] * wide + ca[after], places[a[before]] * wide + classes + cb[before]]), return_counts=True)
+                out = []
+                for bucket, x, z in bucket_runs(h, places, buckets)[1]:
+                    i, j = np.searchsorted(key, [x * wide, z * wide])
+                    if j > i:
+                        word = key[i:j] // wide - x
+                        out.append(row("contexts", r["chunk"], bucket, planes(np.diff(word, prepend=0)), (key[i:j] % wide).astype(np.uint8).tobytes(), planes(m[i:j])))
+                if out:
+                    yield rows_out(out)
+
+    return map_batches(chunks.select("chunk", "ids", "lengths", "tokens", "hashes", "places", "ends"), count, ROWS)
 
 
 ARROW = (("kind", pa.string()), ("chunk", pa.int64()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()))
@@ -297,8 +336,8 @@ def assign(words: DataFrame, contexts: DataFrame, head: tuple[np.ndarray, np.nda
         keys, ms = [], []
         for r in rows:
             if r["kind"] == "contexts":
-                keys.append(places[r["chunk"]][np.frombuffer(r["a"], "<u4")].astype(np.int64) * (2 * classes) + np.frombuffer(r["b"], np.uint8))
-                ms.append(np.frombuffer(r["c"], "<u4").astype(np.float64))
+                keys.append(places[r["chunk"]][np.cumsum(from_planes(r["a"]).astype(np.int64))].astype(np.int64) * (2 * classes) + np.frombuffer(r["b"], np.uint8))
+                ms.append(from_planes(r["c"]).astype(np.float64))
         if keys:
             key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
             m = np.bincount(inverse, weights=np.concatenate(ms))
@@ -306,7 +345,7 @@ def assign(words: DataFrame, contexts: DataFrame, head: tuple[np.ndarray, np.nda
         if len(ids):
             at = np.minimum(np.searchsorted(ids, h), len(ids) - 1)
             cls = np.where(ids[at] == h, of[at], cls)
-        out = [row("known", chunk, rows[0]["bucket"], i8(c[p]), cls[p].astype(np.uint8).tobytes()) for chunk, p in places.items()]
+        out = [row("known", chunk, rows[0]["bucket"], i8_planes(c[p]), cls[p].astype(np.uint8).tobytes()) for chunk, p in places.items()]
         return pa.table({k: pa.array([r[k] for r in out], x) for k, x in ARROW})
 
     return words.unionByName(contexts).groupBy("bucket").applyInArrow(step, ROWS)
@@ -326,38 +365,48 @@ def best_classes(key: np.ndarray, m: np.ndarray, gain: np.ndarray, classes: int,
     return out
 
 
-def resolve(chunks: DataFrame, known: DataFrame, classes: int) -> DataFrame:
-    """`resolved` rows (documents with counts and classes of their words) and `counts` rows (class bigrams, class sizes)."""
+def i8_planes(x: np.ndarray) -> bytes:
+    """Counts as two 32-bit halves in planes."""
+    return planes(x & 0xFFFFFFFF) + planes(x >> 32)
 
-    def join(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
-        chunk = next(r for r in rows if r["kind"] == "docs")
-        own = sorted((r for r in rows if r["kind"] == "known"), key=lambda r: r["bucket"])
-        c = b"".join(r["a"] for r in own)
-        k = b"".join(r["b"] for r in own)
-        _, flags, lengths, tokens, end, n = docs_of(chunk)
-        cls = np.frombuffer(k, np.uint8).astype(np.int64)
-        assert len(cls) == n
-        a, b = neighbours(lengths, tokens, end, flags % 2 == 0)
+
+def from_i8_planes(b: bytes) -> np.ndarray:
+    half = len(b) // 2
+    return from_planes(b[:half]).astype(np.int64) + (from_planes(b[half:]).astype(np.int64) << 32)
+
+
+RESOLVED = "chunk long, ids binary, lengths binary, tokens binary, ends long, counts binary, classes binary, bigrams binary"
+
+
+def resolve(chunks: DataFrame, known: DataFrame, classes: int) -> DataFrame:
+    """Chunks with the training counts and classes of their words, and their class bigrams."""
+
+    def join(own: pa.Table, dictionary: pa.Table) -> pa.Table:
+        r = own.to_pylist()[0]
+        parts = sorted(dictionary.to_pylist(), key=lambda x: x["bucket"])
+        places = from_planes(r["places"])
+        c = np.concatenate([from_i8_planes(x["a"]) for x in parts])[places]
+        cls = np.concatenate([np.frombuffer(x["b"], np.uint8) for x in parts])[places].astype(np.int64)
+        _, flags, lengths, tokens = docs_of(r)
+        a, b = neighbours(lengths, tokens, r["ends"], flags % 2 == 0)
         bigrams = np.bincount(cls[a] * classes + cls[b], minlength=classes * classes)
-        out = [
-            row("resolved", chunk["chunk"], -1, chunk["a"], chunk["b"], chunk["c"], chunk["d"] + c + k),
-            row("counts", chunk["chunk"] % 97, -1, i8(bigrams)),
-        ]
-        return pa.table({x: pa.array([r[x] for r in out], y) for x, y in ARROW})
+        out = {k: r[k] for k in ("chunk", "ids", "lengths", "tokens", "ends")}
+        out |= {"counts": i8_planes(c), "classes": cls.astype(np.uint8).tobytes(), "bigrams": i8(bigrams)}
+        return pa.table({k: pa.array([v], pa.int64() if k in ("chunk", "ends") else pa.binary()) for k, v in out.items()})
 
-    both = chunks.where("kind = 'docs'").unionByName(known)
-    return materialise(both.groupBy("chunk").applyInArrow(join, ROWS), "lm-resolved")
+    own = chunks.select("chunk", "ids", "lengths", "tokens", "places", "ends")
+    both = own.groupBy("chunk").cogroup(known.select("chunk", "bucket", "a", "b").groupBy("chunk"))
+    return materialise(both.applyInArrow(join, RESOLVED), "lm-resolved")
 
 
 def class_bigrams(resolved: DataFrame, classes: int) -> np.ndarray:
     """Sums of the chunks' class bigrams, position by position; classes**2 numbers come to the driver."""
-    cells = resolved.where("kind = 'counts'").select("chunk", "a")
+    cells = resolved.select("bigrams")
 
     def add(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         total = np.zeros(classes * classes, dtype=np.int64)
         for batch in it:
-            for x in batch.column("a").to_pylist():
+            for x in batch.column("bigrams").to_pylist():
                 total += np.frombuffer(x, "<i8")
         at = np.flatnonzero(total)
         yield {"cell": at, "n": total[at]}
@@ -372,11 +421,10 @@ def class_bigrams(resolved: DataFrame, classes: int) -> np.ndarray:
 def score_chunk(r: dict, table: np.ndarray, n_train: int, n_words: int, mix: float) -> dict:
     """The documents' rows of one resolved chunk."""
     classes = len(table)
-    n_local = int(np.frombuffer(r["d"][:8], "<u4")[1])
-    c = np.frombuffer(r["d"][8 : 8 + 8 * n_local], "<i8").astype(np.float64)
-    cls = np.frombuffer(r["d"][8 + 8 * n_local :], np.uint8).astype(np.int64)
-    ids, flags, lengths, tokens, end, _ = docs_of(r | {"d": r["d"][:8]})
-    before, _ = neighbours(lengths, tokens, end, np.ones(len(lengths), dtype=bool))
+    c = from_i8_planes(r["counts"]).astype(np.float64)
+    cls = np.frombuffer(r["classes"], np.uint8).astype(np.int64)
+    ids, flags, lengths, tokens = docs_of(r)
+    before, _ = neighbours(lengths, tokens, r["ends"], np.ones(len(lengths), dtype=bool))
     p0 = (c + 0.1) / (n_train + 0.1 * (n_words + 1))
     sizes = np.maximum(table.sum(axis=0), 1).astype(np.float64)
     within = c / sizes[cls]
@@ -412,7 +460,7 @@ def lm_scores(documents: DataFrame, classes: int = CLASSES, head: int = HEAD, mi
     size = documents.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     buckets = max(8, math.ceil(size / PER_BUCKET))
     rows = encode(documents, buckets, id_col, text_col, chunk_bytes)
-    words = rows.where("kind = 'words'")
+    words = word_rows(rows, buckets)
     n, v, top = totals(words, head)
     order = sorted(top, key=lambda x: x[0] & 0xFFFFFFFFFFFFFFFF)
     ids = np.array([x[0] for x in order], dtype=np.int64).view(np.uint64)
@@ -436,4 +484,4 @@ def lm_scores(documents: DataFrame, classes: int = CLASSES, head: int = HEAD, mi
             for r in batch.to_pylist():
                 yield score_chunk(r, held.value, n, v, mix)
 
-    return map_batches(resolved.where("kind = 'resolved'"), score, SCORES)
+    return map_batches(resolved.drop("bigrams"), score, SCORES)
