@@ -26,6 +26,7 @@ def escaped(c: Column) -> Column:
 
 
 def slice_name(corpus: Column, document_id: Column, size: Column, offset: Column) -> Column:
+    """corpus|document|size|offset; a null corpus has no part in it."""
     return F.concat_ws("|", escaped(corpus), escaped(document_id), size.cast("string"), offset.cast("string"))
 
 
@@ -41,9 +42,10 @@ def slice_uuid(corpus: Column, document_id: Column, size: Column, offset: Column
     return uuid5(slice_name(corpus, document_id, size, offset))
 
 
-def slice_uuid_py(corpus: str, document_id: str, size: int, offset: int) -> str:
+def slice_uuid_py(corpus: str | None, document_id: str, size: int, offset: int) -> str:
     esc = lambda s: s.replace("\\", "\\\\").replace("|", "\\|")
-    return str(uuid.uuid5(NAMESPACE, f"{esc(corpus)}|{esc(document_id)}|{size}|{offset}"))
+    parts = [*([] if corpus is None else [esc(corpus)]), esc(document_id), str(size), str(offset)]
+    return str(uuid.uuid5(NAMESPACE, "|".join(parts)))
 
 
 def marker_py(text: str) -> str:

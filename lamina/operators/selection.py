@@ -125,7 +125,7 @@ def run_trade_up(packed: DataFrame, closure: DataFrame, queries: DataFrame, grid
 
     def kernel(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         if not len(own):
-            return pd.DataFrame({"query_id": [], "results": [], "trade_ups": [], "rejections": []})
+            return pd.DataFrame({"query_id": [], "results": [], "trade_ups": [], "rejections": []}, dtype=object)
         first = own.iloc[0]
         piece = lambda r: Piece(
             (r.document_id, int(r.size_), int(r.codepoint_offset)), r.point_id, int(r.codepoint_length), int(r.document_codepoint_length),
