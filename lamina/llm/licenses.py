@@ -95,11 +95,6 @@ def fuzzy_spans(norm: bytes, notice: Notice) -> list[tuple[int, int, int]]:
     return out
 
 
-def rarest_first(notice: Notice, norm: bytes) -> bool:
-    """Whether any piece stands in the text at all."""
-    return any(piece in norm for _, piece in notice.pieces)
-
-
 def scan_text(text: bytes, notices: tuple[Notice, ...] | None = None) -> dict:
     """One text's words, base places, labels, notice spans (in words) and score."""
     notices = compiled() if notices is None else notices
@@ -115,12 +110,11 @@ def scan_text(text: bytes, notices: tuple[Notice, ...] | None = None) -> dict:
             first = word if first is None else min(first, word)
             last = word if last is None else max(last, word)
     labels, spans, score = set(base), [], 1.0 if base else 0.0
-    if b"licens" in norm or any(rarest_first(n, norm) for n in notices):
-        for n in notices:
-            for a, z, edits in fuzzy_spans(norm, n):
-                labels.add(n.label)
-                spans.append((n.label, norm.count(b" ", 0, a + 1) - 1, norm.count(b" ", 0, z) - 1, edits))
-                score = max(score, 1.0 - edits / (2.0 * (n.edits + 1)))
+    for n in notices:
+        for a, z, edits in fuzzy_spans(norm, n):
+            labels.add(n.label)
+            spans.append((n.label, norm.count(b" ", 0, a + 1) - 1, norm.count(b" ", 0, z) - 1, edits))
+            score = max(score, 1.0 - edits / (2.0 * (n.edits + 1)))
     return {
         "n_words": len(words), "n_base": n_base, "first_word": first, "last_word": last,
         "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": score, "spans": spans,
