@@ -31,14 +31,14 @@ def left_fold(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def cosines(m: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Cosine of each row with q; 0 where either is zero. Equal rows give equal numbers."""
-    a, b = np.sqrt(left_fold(m * m)), np.sqrt(left_fold((q * q)[None, :]))[0]
-    dots = np.zeros(len(m))
-    for j, x in enumerate(q):
-        dots += m[:, j] * x
+def cosines(columns: list[np.ndarray], norms: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Cosine of each row with q; 0 where either is zero. Equal rows give equal numbers. Rows are given by their columns."""
+    own = np.sqrt(left_fold((q * q)[None, :]))[0]
+    dots = np.zeros(len(norms))
+    for column, x in zip(columns, q, strict=True):
+        dots += column * x
     with np.errstate(divide="ignore", invalid="ignore"):
-        return np.where((a == 0) | (b == 0), 0.0, dots / (a * b))
+        return np.where((norms == 0) | (own == 0), 0.0, dots / (norms * own))
 
 
 def search(
@@ -75,21 +75,24 @@ def search(
             if (lengths != lengths[0]).any():
                 raise ValueError("vectors of unlike lengths")
             m = np.asarray(vectors.flatten()).reshape(n, int(lengths[0]))
+            columns, norms = list(np.ascontiguousarray(m.T)), np.sqrt(left_fold(m * m))
             ties = np.array([str(x) for x in batch.column(tie).to_pylist()]) if pa.types.is_string(batch.column(tie).type) else np.asarray(batch.column(tie))
             codes = np.zeros(n, dtype=np.int64)
             for g in groups:
                 _, code = np.unique(np.asarray(batch.column(g).to_pandas()), return_inverse=True)
                 codes = codes * (code.max() + 1) + code
             same = np.asarray(batch.column(exclude_same).to_pandas()) if exclude_same else None
+            members = [np.flatnonzero(codes == c) for c in np.unique(codes)]
             picked: list[np.ndarray] = []
             ids: list = []
             scores: list[np.ndarray] = []
             for qid, q in held.value:
                 if len(q) != m.shape[1]:
                     raise ValueError("vectors of unlike lengths")
-                s = cosines(m, q)
-                for c in np.unique(codes):
-                    at = np.flatnonzero((codes == c) & (same != qid)) if exclude_same else np.flatnonzero(codes == c)
+                s = cosines(columns, norms, q)
+                for at in members:
+                    if same is not None:
+                        at = at[same[at] != qid]
                     if len(at) > k:
                         least = np.partition(s[at], len(at) - k)[len(at) - k]
                         at = at[s[at] >= least]
