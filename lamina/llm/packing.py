@@ -30,7 +30,7 @@ WINDOW, END = 2048, 1
 #: Most parts of a combination, and how many of the commonest lengths are tried for triples.
 DEPTH, COMMON = 8, 48
 #: Pieces of text that a worker remembers the ids of; the largest broadcast table of rank offsets.
-REMEMBERED, OFFSETS = 200_000, 1_000_000
+REMEMBERED, OFFSETS = 200_000, 250_000
 
 # Fixed value: how the vocabulary's pre-tokenizer cuts text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
