@@ -57,9 +57,19 @@ def batches_out(schema: T.StructType) -> Callable[[dict], pa.RecordBatch]:
     return make
 
 
+#: Bytes of a batch on its way to or from Python: several copies of a batch live in a worker and in the JVM at once.
+BATCH = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hold Arrow batches to BATCH bytes; one row may be larger. It changes how rows travel, not what comes of them."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow whose function yields dicts of columns."""
     spark_schema = T._parse_datatype_string(schema)
+    small_batches(df.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = batches_out(spark_schema)

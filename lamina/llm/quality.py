@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_sized, materialise
+from .common import join_sized, materialise, small_batches
 from .toxicity import training_rows
 
 #: The fit's sample of labelled rows, the score from which a document is kept, and the largest broadcast table of sites.
@@ -107,6 +107,7 @@ def probability(texts: Sequence[bytes], model: Model) -> np.ndarray:
 
 def probability_column(spark, model: Model, text: Column) -> Column:
     held = spark.sparkContext.broadcast(model)
+    small_batches(spark)
 
     @F.pandas_udf("double")
     def p(texts: pd.Series) -> pd.Series:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_TABLE, as_bytes, crc_mod, map_batches
+from .common import ALNUM_TABLE, as_bytes, crc_mod, map_batches, small_batches
 
 #: Bounds of the fit: labelled rows used (those of the smallest hashed ids) and their bytes of text; scored words, starts kept.
 SAMPLE_ROWS, SAMPLE_BYTES, FEATURES = 6_000, 32 << 20, 60_000
@@ -300,6 +300,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def toxicity_column(documents: DataFrame, labels: DataFrame, text: Column) -> Column:
     """The score as a column, for filters that keep all columns of their input."""
     model = documents.sparkSession.sparkContext.broadcast(toxicity_model(documents, labels))
+    small_batches(documents.sparkSession)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
