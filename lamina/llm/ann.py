@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by additive quantisation of unit vectors.
 
 A code is one codeword from each of M full-dimensional codebooks; their sum approximates the vector.
-Codebooks start from residual k-means, codes come from beam search, and codebooks are then solved for
-jointly by least squares. Scanning adds M table entries a candidate and divides by the stored norm;
+Codebooks start from residual k-means, codes come from beam search, and codebooks can be solved
+for jointly by least squares. Scanning adds M table entries a candidate and divides by the stored norm;
 the best of a block are reranked by the exact cosine of the original vectors.
 """
 
@@ -24,7 +24,6 @@ SAMPLE_ROWS = 16_384
 @dataclass(frozen=True)
 class Codebooks:
     words: np.ndarray  # M x K x d
-    gram: np.ndarray  # (M K) x (M K) inner products of all codewords
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -47,28 +46,24 @@ def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 
 def encode(x: np.ndarray, books: Codebooks, beam: int) -> np.ndarray:
     """Beam search: keep the `beam` partial sums nearest to each vector, extend by each codebook in turn."""
-    m_books, k, d = books.words.shape
-    n = len(x)
-    flat = books.words.reshape(m_books * k, d)
-    dots = x @ flat.T
-    norms = np.diag(books.gram)
+    n, k = len(x), books.words.shape[1]
+    rest = x[:, None, :]
     codes = np.zeros((n, 1, 0), dtype=np.int64)
     errors = np.zeros((n, 1))  # |x - sum|^2 - |x|^2
-    for m in range(m_books):
-        at = slice(m * k, (m + 1) * k)
-        step = norms[at][None, None, :] - 2 * dots[:, None, at] + np.zeros((n, codes.shape[1], 1))
-        for j in range(m):
-            step += 2 * books.gram[j * k + codes[:, :, j], at]
-        total = (errors[:, :, None] + step).reshape(n, -1)
+    for words in books.words:
+        total = (errors[:, :, None] + (words * words).sum(axis=1) - 2 * (rest @ words.T)).reshape(n, -1)
         keep = min(beam, total.shape[1])
         top = np.argpartition(total, keep - 1, axis=1)[:, :keep]
         errors = np.take_along_axis(total, top, axis=1)
         codes = np.concatenate([np.take_along_axis(codes, (top // k)[:, :, None], axis=1), (top % k)[:, :, None]], axis=2)
+        rest = np.take_along_axis(rest, (top // k)[:, :, None], axis=1) - words[top % k]
     return codes[np.arange(n), errors.argmin(axis=1)]
 
 
-def fit(sample: np.ndarray, books: int = 8, words: int = 256, beam: int = 4, rounds: int = 1, seed: int = 7) -> Codebooks:
-    """Residual k-means, then rounds of beam encoding and a joint least-squares solution of all codebooks."""
+def fit(sample: np.ndarray, books: int = 16, words: int = 256, beam: int = 4, rounds: int = 0, seed: int = 7) -> Codebooks:
+    """Residual k-means, then rounds of beam encoding and a joint least-squares solution of all codebooks.
+
+    A round holds several (books * words) squared matrices on the driver, so none is run by default."""
     rng = np.random.default_rng(seed)
     words = max(1, min(words, len(sample)))
     rest, made = sample.copy(), []
@@ -77,11 +72,7 @@ def fit(sample: np.ndarray, books: int = 8, words: int = 256, beam: int = 4, rou
         made.append(c)
         rest = rest - c[(rest @ c.T - 0.5 * (c * c).sum(axis=1)).argmax(axis=1)]
 
-    def packed(w: np.ndarray) -> Codebooks:
-        flat = w.reshape(-1, w.shape[2])
-        return Codebooks(w, flat @ flat.T)
-
-    out = packed(np.stack(made))
+    out = Codebooks(np.stack(made))
     for _ in range(rounds):
         codes = np.concatenate([encode(part, out, beam) for part in np.array_split(sample, max(1, len(sample) // 1024))])
         place = codes + np.arange(books) * words
@@ -95,17 +86,17 @@ def fit(sample: np.ndarray, books: int = 8, words: int = 256, beam: int = 4, rou
         ridge = 1e-3 * len(sample) / words
         start = out.words.reshape(-1, sample.shape[1])
         solved = np.linalg.solve(normal + ridge * np.eye(len(normal)), right + ridge * start)
-        out = packed(solved.reshape(books, words, -1))
+        out = Codebooks(solved.reshape(books, words, -1))
     return out
 
 
 def additive_search(
-    vectors: DataFrame, k: int = 5, query_every: int = 50, books: int = 8, words: int = 256, beam: int = 4, rerank: int = 48
+    vectors: DataFrame, k: int = 5, query_every: int = 50, books: int = 16, words: int = 256, beam: int = 4, rerank: int = 64
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found by cosine, scores exact in double precision.
 
     vectors: vec_id, embedding. Queries are the rows whose id is divisible by query_every; candidates
-    all rows with another id. Codebooks are fitted on at most SAMPLE_ROWS vectors; every vector is
+    all rows with another id. words is at most 256, so that a code is a byte. Codebooks are fitted on at most SAMPLE_ROWS vectors; every vector is
     encoded, scanned and may be reranked (`rerank` of each block of candidates).
 
     Defined cases: rows with a null id, a null, empty or zero vector or a null or non-finite component
@@ -119,17 +110,16 @@ def additive_search(
     sample = unit(np.array([r.v + [0.0] * (width - len(r.v)) for r in rows], dtype=np.float64).reshape(len(rows), width))
     model = clean.sparkSession.sparkContext.broadcast(fit(sample, books, words, beam)) if rows else None
 
-    def kernel(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray) -> Iterator[tuple]:
+    def kernel(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, codes: bytes) -> Iterator[tuple]:
         w = max(q.shape[1], m.shape[1], width)
         q, m = fit_width(q, w), fit_width(m, w)
         books_ = model.value
         x, uq = unit(m), unit(q)
-        codes = _codes(ids, x, books_, beam)
         n_books, n_words, d = books_.words.shape
+        norm = np.frombuffer(codes[: 8 * len(ids)], "<f8")
+        codes = np.frombuffer(codes[8 * len(ids) :], np.uint8).reshape(len(ids), n_books).astype(np.int64)
         flat = books_.words.reshape(-1, d)
         place = (codes + np.arange(n_books) * n_words).T
-        approx = flat[place].sum(axis=0)
-        norm = np.maximum(np.sqrt((approx * approx).sum(axis=1)), 1e-12)
         tables = uq[:, :d] @ flat.T
         length = np.sqrt((m * m).sum(axis=1))
         for i, table in enumerate(tables):
@@ -149,16 +139,14 @@ def additive_search(
             top = best(exact, ids[at], k)
             yield i, ids[at][top], exact[top]
 
-    last: dict = {}
-
-    def _codes(ids: np.ndarray, x: np.ndarray, books_: Codebooks, beam_: int) -> np.ndarray:
-        """Codes of a block, encoded once although several query blocks meet it in a row."""
-        key = (ids[:16].tobytes(), len(ids), float(x[: min(16, len(x))].sum()))
-        if last.get("key") != key:
-            w = books_.words.shape[2]
-            last["codes"] = np.concatenate([encode(part[:, :w], books_, beam_) for part in np.array_split(x, max(1, len(x) // 512))])
-            last["key"] = key
-        return last["codes"]
+    def code_block(m: np.ndarray) -> bytes:
+        """What is stored of a block: the norm of each vector's approximation, and its code, one byte a codebook."""
+        x, b = unit(fit_width(m, max(m.shape[1], width))), model.value
+        d = b.words.shape[2]
+        codes = np.concatenate([encode(p[:, :d], b, beam) for p in np.array_split(x, max(1, len(x) // 512))])
+        approx = sum(b.words[j][codes[:, j]] for j in range(len(b.words)))
+        norm = np.maximum(np.sqrt((approx * approx).sum(axis=1)), 1e-12)
+        return norm.astype("<f8").tobytes() + codes.astype(np.uint8).tobytes()
 
     queries = clean.where(F.pmod("vec_id", F.lit(query_every)) == 0)
-    return search_blocks(queries, clean, kernel, k, "double").withColumn("rank", F.col("rank").cast("int"))
+    return search_blocks(queries, clean, kernel, k, "double", code_block).withColumn("rank", F.col("rank").cast("int"))

@@ -15,7 +15,7 @@ from .common import map_batches
 
 #: Rows of a candidate and of a query block, and the most groups that query blocks are copied to.
 CANDIDATE_ROWS, QUERY_ROWS, MOST_GROUPS = 4096, 256, 256
-BLOCK_SCHEMA = "block_ids binary, lengths binary, vals binary"
+BLOCK_SCHEMA = "block_ids binary, lengths binary, vals binary, extra binary"
 
 
 def clean_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", nonzero: bool = False) -> DataFrame:
@@ -32,8 +32,8 @@ def clean_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     return out.where(F.exists("v", lambda x: x != 0)) if nonzero else out
 
 
-def to_blocks(vectors: DataFrame, rows: int) -> DataFrame:
-    """Pack (vec_id, v) into rows of at most `rows` vectors, as little-endian arrays."""
+def to_blocks(vectors: DataFrame, rows: int, extra: Callable[[np.ndarray], bytes] | None = None) -> DataFrame:
+    """Pack (vec_id, v) into rows of at most `rows` vectors, as little-endian arrays, with what `extra` makes of their matrix."""
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in it:
@@ -41,11 +41,9 @@ def to_blocks(vectors: DataFrame, rows: int) -> DataFrame:
                 part = batch.slice(at, rows)
                 col = part.column("v")
                 lengths = np.asarray(col.value_lengths(), dtype="<i4")
-                yield {
-                    "block_ids": [np.asarray(part.column("vec_id"), dtype="<i8").tobytes()],
-                    "lengths": [lengths.tobytes()],
-                    "vals": [np.asarray(col.flatten(), dtype="<f8").tobytes()],
-                }
+                ids, vals = np.asarray(part.column("vec_id"), dtype="<i8").tobytes(), np.asarray(col.flatten(), dtype="<f8").tobytes()
+                more = extra(unpack(ids, lengths.tobytes(), vals)[1]) if extra else b""
+                yield {"block_ids": [ids], "lengths": [lengths.tobytes()], "vals": [vals], "extra": [more]}
 
     return map_batches(vectors.select("vec_id", "v"), pack, BLOCK_SCHEMA)
 
@@ -79,18 +77,18 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def search_blocks(
-    queries: DataFrame, candidates: DataFrame, kernel: Callable, k: int, score_type: str
+    queries: DataFrame, candidates: DataFrame, kernel: Callable, k: int, score_type: str, extra: Callable[[np.ndarray], bytes] | None = None
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of every query over all candidate blocks.
 
-    kernel(query ids, query matrix, candidate ids, candidate matrix) yields (query index, candidate
+    kernel(query ids, query matrix, candidate ids, candidate matrix, extra) yields (query index, candidate
     ids, scores) for at most k candidates, the query's own id left out. Query blocks are copied to a
     bounded number of groups, candidate blocks are dealt over these, and each meeting of two blocks
     gives k rows a query at most, so what is merged does not grow with the vectors' width.
     """
     n = candidates.count()
     groups = max(1, min(MOST_GROUPS, math.ceil(n / CANDIDATE_ROWS)))
-    cand = to_blocks(candidates, CANDIDATE_ROWS).withColumn("g", F.pmod(F.xxhash64("block_ids"), F.lit(groups)).cast("int"))
+    cand = to_blocks(candidates, CANDIDATE_ROWS, extra).withColumn("g", F.pmod(F.xxhash64("block_ids"), F.lit(groups)).cast("int"))
     own = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     q = to_blocks(own, QUERY_ROWS).select(
         *(F.col(c).alias(f"q_{c}") for c in ("block_ids", "lengths", "vals")),
@@ -104,7 +102,7 @@ def search_blocks(
             for r in range(batch.num_rows):
                 ids, m = unpack(*(cols[c][r].as_py() for c in ("block_ids", "lengths", "vals")))
                 qids, qm = unpack(*(cols[f"q_{c}"][r].as_py() for c in ("block_ids", "lengths", "vals")))
-                got = [(np.full(len(c), qids[i]), c, s) for i, c, s in kernel(qids, qm, ids, m)]
+                got = [(np.full(len(c), qids[i]), c, s) for i, c, s in kernel(qids, qm, ids, m, cols["extra"][r].as_py())]
                 if got:
                     a, b, s = (np.concatenate(x) for x in zip(*got, strict=True))
                     yield {"query_id": a, "vec_id": b, "score": s}

@@ -51,7 +51,7 @@ def exact_topk(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int
         F.transform("v", lambda x: F.greatest(F.lit(-float(LARGEST)), F.least(F.lit(float(LARGEST)), F.floor(x * F.lit(float(scale))).cast("double")))).alias("v"),
     )
 
-    def kernel(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray) -> Iterator[tuple]:
+    def kernel(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, _: bytes) -> Iterator[tuple]:
         width = max(q.shape[1], m.shape[1])
         postings = postings_of(fit_width(m, width).astype(np.int64))
         for i, row in enumerate(fit_width(q, width).astype(np.int64)):

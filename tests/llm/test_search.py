@@ -77,6 +77,19 @@ def test_ann_recall_and_scores(spark):
     assert set(got) == {i for i in v if i % 50 == 0} and hits / total >= 0.95
 
 
+def test_ann_recall_in_many_dimensions(spark):
+    """Vectors as spread as they come, over several blocks: no structure helps the codes."""
+    m = np.random.default_rng(6).normal(size=(9000, 64)).astype(np.float32).astype(np.float64)
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    hits = 0
+    got = additive_search(table(spark, [(i, v) for i, v in enumerate(m.tolist())]).repartition(3)).collect()
+    for r in got:
+        s = unit @ unit[r.query_id]
+        s[r.query_id] = -9
+        hits += s[r.vec_id] >= np.partition(s, -5)[-5] - 1e-9
+    assert len(got) == 180 * 5 and hits / len(got) >= 0.95
+
+
 @pytest.mark.parametrize("data", [[], [(0, [0.0, 0.0])], [(0, [1.0, 2.0])]])
 def test_ann_small(spark, data):
     assert additive_search(table(spark, data)).count() == 0
