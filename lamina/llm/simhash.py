@@ -79,14 +79,14 @@ def fingerprints(texts: list[bytes], size: int = SHINGLE) -> np.ndarray:
 
 
 def with_fingerprints(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, fp) of every row; a null text has no words."""
+    """(doc_id, fp, text_hash) of every row; a null text has no words."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in it:
-            yield {"doc_id": batch.column("doc_id"), "fp": fingerprints(as_bytes(batch.column("text")))}
+            yield {"doc_id": batch.column("doc_id"), "fp": fingerprints(as_bytes(batch.column("text"))), "text_hash": batch.column("text_hash")}
 
-    own = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return map_batches(own, run, "doc_id long, fp long")
+    own = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return map_batches(own, run, "doc_id long, fp long, text_hash long")
 
 
 def signed(x: int) -> int:
@@ -163,6 +163,17 @@ def components(edges: DataFrame) -> DataFrame:
             return out
 
 
+def classed(documents: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, text_hash) of every row, and (fp, label, component_id) of every fingerprint."""
+    prints = materialise(with_fingerprints(documents, id_col, text_col), "fingerprints")
+    fps = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    edges = materialise(links(materialise(possible(fps), "possible")), "stars")
+    labels = components(edges)
+    named = fps.join(labels, fps["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    return prints, named.join(least, "label").select("fp", "label", "component_id")
+
+
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id reachable): one row a document.
 
@@ -170,13 +181,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     kept and are never a component's id unless it has no other; repeated ids are kept; an empty table gives
     no rows; other columns are not looked at. Whole texts are hashed.
     """
-    prints = materialise(with_fingerprints(documents, id_col, text_col), "fingerprints")
-    fps = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    edges = materialise(links(materialise(possible(fps), "possible")), "stars")
-    labels = components(edges)
-    named = fps.join(labels, fps["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    table = named.join(least, "label").select("fp", "component_id")
+    prints, table = classed(documents, id_col, text_col)
     return prints.join(table, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -185,11 +190,19 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, all columns as they were: the one with the smallest id.
 
-    Rows that share that id are one group too: of these the one that sorts first by its text's hash stays. Ids are
-    what is joined on; rows with a null id stay only where their group has no id at all.
+    Defined cases: rows that share an id are one document, of which the text with the smallest hash stays, and one of
+    repeated rows; a null id says nothing, so every group without any other id keeps a document; an empty table
+    gives no rows; columns of any name pass through.
     """
-    groups = near_duplicates(documents, id_col, text_col)
-    keep = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    found = documents.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("_keep")), "left_semi")
-    rank = F.row_number().over(W.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col))
-    return found.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    prints, table = classed(documents, id_col, text_col)
+    firsts = prints.join(table, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # Without an id it is the label that tells groups apart.
+    apart = F.when(F.col("component_id").isNull(), F.col("label")).alias("apart")
+    keep = firsts.groupBy("component_id", apart).agg(F.min("text_hash").alias("kept_hash")).select(F.col("component_id").alias("kept_id"), "kept_hash")
+    rows = documents.select(
+        F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash")
+    )
+    found = rows.join(keep, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")), "left_semi")
+    # A filter on the first row of a window is applied before its shuffle too, so many equal rows do not meet in a task.
+    place = F.row_number().over(W.partitionBy("id", "hash").orderBy(F.xxhash64(F.to_json("row"))))
+    return found.withColumn("place", place).where("place = 1").select("row.*")

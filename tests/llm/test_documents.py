@@ -311,6 +311,15 @@ def test_one_of_each_group_stays(spark):
     assert kept.columns == d.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(g.component_id) for g in groups)
 
 
+def test_groups_without_an_id_keep_a_document_each(spark):
+    a, b, c = (words(80, i) for i in (1, 2, 3))
+    rows = [(None, a, "p", "q"), (None, a, "p", "q"), (None, b, "p", None), (None, c, None, "q"), (3, c, "p", "q"), (4, None, "p", "q"), (None, "", "p", "q"), (None, None, None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, kept_id string, place string").repartition(3)
+    kept = simhash.drop_near_duplicates(d)
+    assert kept.columns == d.columns
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [(None, a, "p", "q"), (None, b, "p", None), (3, c, "p", "q"), (4, None, "p", "q")]))
+
+
 def test_long_chain_of_labels(spark):
     n = 70
     e = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long").repartition(5)
