@@ -65,6 +65,13 @@ def as_metrics(summary: DataFrame) -> DataFrame:
     return summary.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
 
 
+def load_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """(metric, value) of a summary that write_outputs() gave as JSON."""
+    one = json.loads(spark.read.text(path, wholetext=True).first()["value"])
+    text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v, separators=(",", ":"))
+    return spark.createDataFrame([(k, text(v)) for k, v in sorted(one.items())], "metric string, value string")
+
+
 def write_outputs(rows: DataFrame, summary: DataFrame) -> tuple[str, str]:
     """(CSV of the per-query rows, sorted JSON of the summary), as text. A query set is a report's size."""
     out = io.StringIO()

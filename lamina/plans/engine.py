@@ -12,7 +12,7 @@ from ..functions import counters
 from ..functions.embedders import Embedder, FakeEmbedder, Registry
 from ..functions.exprs import marker
 from ..grid import DEFAULT_GRID, Grid
-from ..operators import retrieval, selection
+from ..operators import evaluation, retrieval, selection
 from ..operators.slicing import check_text, slice_documents
 from ..sources.catalog import Catalog, CorpusConfig
 from ..sources.shared import materialise
@@ -189,6 +189,22 @@ class Engine:
         return QueryResult(chosen.join(slices.select("point_id", "text"), "point_id", "left"), trace.withColumn("partial", F.lit(partial)), fanout, partial, warned + more)
 
 
+    # Evaluation.
+
+    def evaluate(self, name: str, queries: DataFrame | str, *, budget: int | None = None, k: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """(a row a query, their aggregate) of (query_id, query), or of the lines of a file of queries, numbered in order."""
+        if isinstance(queries, str):
+            queries = materialise(evaluation.load_queries(self.spark, queries).coalesce(1).withColumn("query_id", F.monotonically_increasing_id()), "queries")
+        rows = materialise(evaluation.evaluate(self.query(name, queries, budget=budget, k=k).trace), "evaluation")
+        return rows, evaluation.aggregate(rows).withColumn("budget", F.lit(budget).cast("int"))
+
+    def regress(self, name: str, queries: DataFrame | str, baseline: DataFrame | str, *, budget: int | None = None, k: int | None = None, tolerance: float = 0.01) -> DataFrame:
+        """The metrics that drifted from a baseline: (metric, value), or the path of a summary's JSON."""
+        known = evaluation.load_baseline(self.spark, baseline) if isinstance(baseline, str) else baseline
+        _, summary = self.evaluate(name, queries, budget=budget, k=k)
+        return evaluation.compare_baseline(evaluation.as_metrics(summary), known, tolerance)
+
+
 def render_context(selection_with_text: DataFrame) -> DataFrame:
     """query_id, context: the chosen slices in order, each under `[document @ start..end, size n]`."""
     head = F.concat(

@@ -131,6 +131,21 @@ def test_queries(engine, spark):
     assert s.queries == 2 and s.partial_queries == 0 and 0 < s.mean_utilization <= 1
 
 
+def test_evaluate_and_regress(engine, spark, tmp_path):
+    engine.put("docs", "find", LONG)
+    p = tmp_path / "queries.jsonl"
+    p.write_text(f'{{"query": "{LONG[:64]}"}}\n\n{LONG[300:420].strip()}\n')
+    rows, summary = engine.evaluate("docs", str(p), budget=600)
+    assert [r.query_id for r in rows.orderBy("query_id").collect()] == [0, 1]
+    one = summary.first()
+    assert one.queries == 2 and one.budget == 600 and 0 < one.mean_utilization <= 1
+    base = tmp_path / "summary.json"
+    base.write_text(evaluation.write_outputs(rows, summary)[1])
+    assert engine.regress("docs", str(p), str(base), budget=600).count() == 0
+    off = {r.metric: r.current for r in engine.regress("docs", str(p), str(base)).collect()}
+    assert "budget" in off and off["mean_utilization"] is None
+
+
 def test_fetch_and_search(engine, spark):
     ids = sorted(engine.catalog.list_point_ids("docs", "find")[64])[:3]
     asked = [ids[2], "nope", ids[0]]
