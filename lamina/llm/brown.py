@@ -1,9 +1,13 @@
 """Language-model scoring with a Brown class-based bigram model.
 
 P(w | v) = mix * P(class w | class v) * P(w | class w) + (1 - mix) * P0(w), where P0 is the add-0.1
-unigram model over the training tokens. Classes come from exchange clustering: the commonest words are moved between
-classes while that raises the bigram likelihood; every other word then makes one exchange step against those classes, by
-its contexts in all training texts.
+unigram model over the training tokens. Classes come from exchange clustering in two parts. To begin with, the commonest
+words are moved between classes one by one while that raises the bigram likelihood, and every other word joins the class
+that suits its contexts among them. Then come sweeps over the whole vocabulary: each training word, common or rare, moves
+to the class that raises the likelihood most, by all its bigrams counted against the classes of all words after the
+pass before. Words of a pass move at once, as in distributed exchange, and words alike would all leave for the same class:
+so a sweep takes RARE passes, a part of the words in each, and common words, which weigh more, take turns over COMMON
+passes. When all have had their turn it goes on until a sweep gains less than TOLERANCE; the best classes met are used.
 
 Texts are cut into chunks of whole documents. A chunk is one row: its documents as numbers into its own word list.
 Words are known by 64-bit hashes, and each chunk deals its list over hash buckets; a bucket sees all counts and
@@ -26,7 +30,11 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, map_batches, materialise, release
 
-#: Text of a chunk and text per hash bucket, in bytes; words clustered on the driver; classes; weight of the class model.
+#: Gain of a sweep, in nats a training token, below which classes count as settled; contexts of words weighed at a time.
+TOLERANCE, WEIGHED = 0.01, 1 << 16
+#: Passes over which words take turns, for rare ones and for those of over a 1,024th of the tokens.
+RARE, COMMON = 2, 4
+#: Text of a chunk and text per hash bucket, in bytes; words the start is made from, on the driver; classes; weight of the class model.
 CHUNK, PER_BUCKET, HEAD, CLASSES, MIX = 16 << 20, 8 << 20, 1024, 48, 0.8
 #: The end of a text as a word: no word holds a line feed.
 END = b"\n"
@@ -233,7 +241,7 @@ def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = 6) -> np.ndarray:
+def exchange(counts: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """Classes of words by exchange: each word in turn goes to the class that raises the class-bigram
     likelihood most, until a sweep moves none. counts: words x words, the commonest first; words start in turn."""
     n = len(counts)
@@ -243,7 +251,10 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = 6) -> np.
     right = counts @ one  # word x class: what follows
     left = counts.T @ one  # word x class: what goes before
     table = one.T @ right
-    for _ in range(sweeps):
+    # What rounding could feign is no gain: so every move raises the likelihood, and the sweeps come to an end.
+    least = 1e-9 * (1 + counts.sum())
+    moved = n
+    while moved:
         moved = 0
         for w in range(n):
             k = of[w]
@@ -254,7 +265,8 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = 6) -> np.
             table[k, :] -= r
             table[:, k] -= l
             table[k, k] -= own
-            rows, cols = table.sum(axis=1), table.sum(axis=0)
+            # bigrams of other words with w count for those words' classes wherever w goes
+            rows, cols = table.sum(axis=1) + l, table.sum(axis=0) + r
             nw_r, nw_l = r.sum() + own, l.sum() + own
             gain = (xlogx(table + r[None, :]) - xlogx(table)).sum(axis=1) + (xlogx(table + l[:, None]) - xlogx(table)).sum(axis=0)
             d = np.diag(table)
@@ -262,7 +274,7 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = 6) -> np.
             gain += xlogx(d + rd + ld + own) - xlogx(d + rd) - xlogx(d + ld) + xlogx(d)
             gain -= xlogx(rows + nw_r) - xlogx(rows) + xlogx(cols + nw_l) - xlogx(cols)
             best = int(gain.argmax())
-            if gain[best] <= gain[k] + 1e-9:
+            if gain[best] <= gain[k] + least:
                 best = k
             table[best, :] += r
             table[:, best] += l
@@ -274,8 +286,6 @@ def exchange(counts: np.ndarray, classes: int = CLASSES, sweeps: int = 6) -> np.
                 left[:, best] += counts[w, :]
                 right[:, k] -= counts[:, w]
                 right[:, best] += counts[:, w]
-        if not moved:
-            break
     return of
 
 
@@ -317,6 +327,7 @@ def assign(words: DataFrame, contexts: DataFrame, head: tuple[np.ndarray, np.nda
 
     Words outside the head make one exchange step: the class whose transitions best explain their
     contexts, smoothed; words without a context join the class of the largest share of other words.
+    All this is a start for settle().
     """
     classes = len(table)
     rows_, cols = table.sum(axis=1) + 1.0, table.sum(axis=0) + 1.0
@@ -365,6 +376,163 @@ def best_classes(key: np.ndarray, m: np.ndarray, gain: np.ndarray, classes: int,
     return out
 
 
+def seen_rows(chunks: DataFrame, known: DataFrame, classes: int) -> DataFrame:
+    """`seen` rows: for each chunk and bucket, (word's place, context, count) of all training bigrams of all words, and the
+    words' classes; and for each chunk a `bigrams` row, its class bigrams.
+
+    A context is the class of the word before (0..) or after (classes..), or the word itself (2 * classes).
+    """
+    wide = 2 * classes + 1
+
+    def join(own: pa.Table, dictionary: pa.Table) -> pa.Table:
+        r = own.to_pylist()[0]
+        parts = sorted(dictionary.to_pylist(), key=lambda x: x["bucket"])
+        kind = np.uint32 if (len(r["places"]) // 4 + 1) * wide < 1 << 32 else np.int64
+        places = from_planes(r["places"]).astype(kind)
+        cls = np.concatenate([np.frombuffer(x["b"], np.uint8) for x in parts])[places].astype(kind)
+        _, flags, lengths, tokens = docs_of(r)
+        a, b = neighbours(lengths, tokens, r["ends"], flags % 2 == 0)
+        out = [row("bigrams", r["chunk"], 0, i8(np.bincount(cls[a] * kind(classes) + cls[b], minlength=classes * classes)))]
+        itself = a == b
+        x, y = a[~itself], b[~itself]
+        at = places * kind(wide)
+        key = np.concatenate([at[y] + cls[x], at[x] + cls[y] + kind(classes), at[a[itself]] + kind(2 * classes)])
+        del tokens, a, b, x, y, itself
+        key.sort()
+        starts = np.flatnonzero(np.diff(key, prepend=key[:1] + kind(1)))
+        m = np.diff(starts, append=len(key))
+        key = key[starts].astype(np.int64)
+        first = 0
+        for p in parts:
+            end = first + len(p["b"])
+            i, j = np.searchsorted(key, [first * wide, end * wide])
+            word = key[i:j] // wide - first
+            out.append(row("seen", r["chunk"], p["bucket"], planes(np.diff(word, prepend=0)), (key[i:j] % wide).astype(np.uint8).tobytes(), planes(m[i:j]), p["b"]))
+            first = end
+        return pa.table({k: pa.array([o[k] for o in out], x) for k, x in ARROW})
+
+    own = chunks.select("chunk", "ids", "lengths", "tokens", "places", "ends")
+    both = own.groupBy("chunk").cogroup(known.select("chunk", "bucket", "b").groupBy("chunk"))
+    return both.applyInArrow(join, ROWS)
+
+
+def move(words: DataFrame, seen: DataFrame, table: np.ndarray, turn: int) -> DataFrame:
+    """`known` rows after pass number `turn`: each word whose turn it is in its best class, by all its bigrams."""
+    wide = 2 * len(table) + 1
+    held = words.sparkSession.sparkContext.broadcast(table)
+
+    def step(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        h, c, places = merged(rows)
+        of = np.zeros(len(h), dtype=np.int64)
+        keys, ms = [], []
+        for r in rows:
+            if r["kind"] == "seen":
+                at = places[r["chunk"]]
+                of[at] = np.frombuffer(r["d"], np.uint8)
+                keys.append(at[np.cumsum(from_planes(r["a"]).astype(np.int64))].astype(np.int64) * wide + np.frombuffer(r["b"], np.uint8))
+                ms.append(from_planes(r["c"]).astype(np.float64))
+        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        m = np.bincount(inverse, weights=np.concatenate(ms), minlength=len(key))
+        parts = np.where(c * 1024 > held.value.sum(), COMMON, RARE)
+        mine = ((h >> np.uint64(32)).astype(np.int64) % parts == turn % parts)[key // wide]
+        cls = best_moves(key[mine], m[mine], of, held.value)
+        out = [row("known", chunk, rows[0]["bucket"], i8_planes(c[p]), cls[p].astype(np.uint8).tobytes()) for chunk, p in places.items()]
+        return pa.table({k: pa.array([r[k] for r in out], x) for k, x in ARROW})
+
+    return words.unionByName(seen).groupBy("bucket").applyInArrow(step, ROWS)
+
+
+def best_moves(key: np.ndarray, m: np.ndarray, of: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Classes after each word with contexts went to the class that raises the likelihood most, all others staying.
+
+    key: word * (2 classes + 1) + context, sorted; m: their counts; of: classes now; table: class bigrams now.
+    """
+    classes, out = len(table), of.copy()
+    wide = 2 * classes + 1
+    table = table.astype(np.float64)
+    both, diagonal = np.concatenate([table, table.T]), np.diag(table)
+    sums = table.sum(axis=1), table.sum(axis=0)
+    word = key // wide
+    firsts = np.flatnonzero(np.diff(word, prepend=-1))
+    a = 0
+    while a < len(firsts):
+        z = max(a + 1, int(np.searchsorted(firsts, firsts[a] + WEIGHED)))
+        start, stop = firsts[a], firsts[z] if z < len(firsts) else len(key)
+        w, n = word[firsts[a:z]], z - a
+        i = np.repeat(np.arange(n), np.diff(firsts[a:z], append=stop))
+        x, count, k = key[start:stop] % wide, m[start:stop], of[w]
+        seen = np.zeros((n, wide))
+        seen[i, x] = count
+        before, after, own = seen[:, :classes], seen[:, classes:-1], seen[:, -1]
+        itself = x == 2 * classes
+        x, count, k_of = np.where(itself, 0, x), np.where(itself, 0.0, count), k[i]
+        # Cells that the word's bigrams would go to, with the word taken out of its class.
+        cell = both[x]
+        cell[np.arange(len(x)), k_of] -= count
+        home = np.flatnonzero((x % classes == k_of) & ~itself)
+        cell[home] -= np.where((x[home] < classes)[:, None], after[i[home]], before[i[home]])
+        cell[home, k_of[home]] -= own[i[home]]
+        gain = np.add.reduceat(xlogx(cell + count[:, None]) - xlogx(cell), firsts[a:z] - start, axis=0)
+        at = np.arange(n), k
+        d = np.repeat(diagonal[None, :], n, axis=0)
+        d[at] -= before[at] + after[at] + own
+        gain += xlogx(d + before + after + own[:, None]) - xlogx(d + before) - xlogx(d + after) + xlogx(d)
+        for total, side in zip(sums, (after, before), strict=True):
+            tokens = side.sum(axis=1) + own
+            rest = np.repeat(total[None, :], n, axis=0)
+            rest[at] -= tokens
+            gain -= xlogx(rest + tokens[:, None]) - xlogx(rest)
+        best = gain.argmax(axis=1)
+        out[w] = np.where(gain[np.arange(n), best] > gain[at] + 1e-5, best, k)
+        a = z
+    return out
+
+
+def likelihood(table: np.ndarray) -> float:
+    """Log-likelihood of the training bigrams, but for what does not depend on the classes."""
+    t = table.astype(np.float64)
+    return float(xlogx(t).sum() - xlogx(t.sum(axis=1)).sum() - xlogx(t.sum(axis=0)).sum())
+
+
+def settle(chunks: DataFrame, words: DataFrame, known: DataFrame, classes: int) -> DataFrame:
+    """`known` rows, written, of the classes after sweeps over all words until one gains less than TOLERANCE."""
+    conf = chunks.sparkSession.conf
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = conf.get(cleanup, None)
+
+    def counted(known: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
+        seen = materialise(seen_rows(chunks, known, classes), "lm-seen")
+        return known, seen, class_bigrams(seen.where("kind = 'bigrams'").select(F.col("a").alias("bigrams")), classes)
+
+    # What a sweep has shuffled is of no use to the next one.
+    conf.set(cleanup, "true")
+    try:
+        now = best = counted(materialise(known, "lm-known"))
+        least, turn, before = TOLERANCE * now[2].sum(), 0, likelihood(now[2])
+        while True:
+            new = counted(materialise(move(words, now[1].where("kind = 'seen'"), now[2], turn), "lm-known"))
+            release(now[1])
+            turn += 1
+            better = likelihood(new[2]) > likelihood(best[2])
+            if better:
+                release(best[0])
+            if now is not best:
+                release(now[0])
+            now, best = new, new if better else best
+            if turn % RARE == 0:
+                level = likelihood(best[2])
+                if turn >= COMMON and level - before <= least:
+                    break
+                before = level
+        release(now[1])
+        if now is not best:
+            release(now[0])
+    finally:
+        conf.set(cleanup, was) if was is not None else conf.unset(cleanup)
+    return best[0]
+
+
 def i8_planes(x: np.ndarray) -> bytes:
     """Counts as two 32-bit halves in planes."""
     return planes(x & 0xFFFFFFFF) + planes(x >> 32)
@@ -474,8 +642,9 @@ def lm_scores(documents: DataFrame, classes: int = CLASSES, head: int = HEAD, mi
     one = np.eye(classes)[of] if len(order) else np.zeros((0, classes))
     table = one.T @ counts[:-1, :-1] @ one if len(order) else np.zeros((classes, classes))
     contexts = context_rows(rows, ids, of, classes, buckets)
-    known = assign(words, contexts, (ids, of), table)
+    known = settle(rows, words, assign(words, contexts, (ids, of), table), classes)
     resolved = resolve(rows, known, classes)
+    release(known)
     held = documents.sparkSession.sparkContext.broadcast(class_bigrams(resolved, classes))
     release(rows)
 

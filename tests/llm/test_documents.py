@@ -352,6 +352,30 @@ def test_class_model_learns_order(spark):
     assert sum(r.score for r in h) > sum(r.base_score for r in h) + 0.15 * sum(r.n_tokens for r in h)
 
 
+def test_moves_are_the_best_by_brute_force():
+    """Each word's move, the others staying, is the one of largest likelihood."""
+    rng = np.random.default_rng(7)
+    counts, of, classes = rng.poisson(0.4, (40, 40)), rng.integers(0, 5, 40), 5
+    summed = lambda cls: np.array([[counts[np.ix_(cls == a, cls == b)].sum() for b in range(classes)] for a in range(classes)])
+    bag: Counter = Counter()
+    for a, b in zip(*np.nonzero(counts), strict=True):
+        n = int(counts[a, b])
+        if a == b:
+            bag[a * 11 + 10] += n
+        else:
+            bag[b * 11 + of[a]] += n
+            bag[a * 11 + 5 + of[b]] += n
+    key = np.array(sorted(bag))
+    got = brown.best_moves(key, np.array([bag[k] for k in key], dtype=float), of, summed(of))
+    for w in range(40):
+        gain = []
+        for c in range(classes):
+            cls = of.copy()
+            cls[w] = c
+            gain.append(brown.likelihood(summed(cls)))
+        assert gain[got[w]] > max(gain) - 1e-4
+
+
 def test_exchange_separates_kinds():
     m = np.zeros((20, 20))
     m[0::2, 1::2] = 5
