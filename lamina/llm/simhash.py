@@ -190,15 +190,17 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, all columns as they were: the one with the smallest id.
 
-    Defined cases: rows that share an id are one document, of which the text with the smallest hash stays, and one of
-    repeated rows; a null id says nothing, so every group without any other id keeps a document; an empty table
+    Defined cases: rows that share an id are one document, that of the text with the smallest hash, and one of
+    repeated rows stays; a group whose smallest id is such a document elsewhere keeps its next one; a null id says nothing, so every group without any other id keeps a document; an empty table
     gives no rows; columns of any name pass through.
     """
     prints, table = classed(documents, id_col, text_col)
-    firsts = prints.join(table, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # Without an id it is the label that tells groups apart.
-    apart = F.when(F.col("component_id").isNull(), F.col("label")).alias("apart")
-    keep = firsts.groupBy("component_id", apart).agg(F.min("text_hash").alias("kept_hash")).select(F.col("component_id").alias("kept_id"), "kept_hash")
+    # Without an id it is the fingerprint that tells documents apart.
+    apart = F.when(F.col("doc_id").isNull(), F.col("fp")).alias("apart")
+    one = prints.groupBy("doc_id", apart).agg(F.min(F.struct("text_hash", "fp")).alias("text")).select("doc_id", "text.text_hash", "text.fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("first")
+    firsts = one.groupBy("fp").agg(first).select("fp", "first.*").join(table.select("fp", "label"), "fp")
+    keep = firsts.groupBy("label").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
     rows = documents.select(
         F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash")
     )

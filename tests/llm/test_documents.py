@@ -320,6 +320,12 @@ def test_groups_without_an_id_keep_a_document_each(spark):
     assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, [(None, a, "p", "q"), (None, b, "p", None), (3, c, "p", "q"), (4, None, "p", "q")]))
 
 
+def test_a_repeated_id_takes_no_other_document_along(spark):
+    a, b = (words(80, i) for i in (1, 2))
+    kept = simhash.drop_near_duplicates(docs(spark, [(1, a), (1, b), (2, a), (3, b), (4, b), (5, a)])).collect()
+    assert len(kept) == 2 and {r.text for r in kept} == {a, b} and {r.doc_id for r in kept} in ({1, 2}, {1, 3})
+
+
 def test_long_chain_of_labels(spark):
     n = 70
     e = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long").repartition(5)
