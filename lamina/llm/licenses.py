@@ -86,13 +86,16 @@ def fuzzy_spans(norm: bytes, notice: Notice) -> list[tuple[int, int, int]]:
         else:
             windows.append([a, z])
     out = []
-    for a, z in windows:
+    while windows:
+        a, z = windows.pop()
         if z - a < size - k:
             continue
-        for m in notice.pattern.finditer(norm, a, z):
-            if m.end() > m.start():
-                out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-    return out
+        # The best match of the stretch; then what stands before it and what stands behind.
+        m = notice.pattern.search(norm, a, z)
+        if m and m.end() > m.start():
+            out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+            windows += [[a, m.start()], [m.end(), z]]
+    return sorted(out)
 
 
 def scan_text(text: bytes, notices: tuple[Notice, ...] | None = None) -> dict:

@@ -103,6 +103,14 @@ def test_fuzzy_notices_keep_their_promise():
     assert licenses.scan_text(b"plain words about a license to drive")["labels"] == ""
 
 
+def test_a_better_notice_hides_no_earlier_one():
+    n = next(n for n in licenses.compiled() if n.label == "lgpl")
+    text = b" gnu leser general public license and gnu lesser general public license or gnu lesser genral public license "
+    assert [(text[a:z].strip(), e) for a, z, e in licenses.fuzzy_spans(text, n)] == [
+        (b"gnu leser general public license", 1), (b"gnu lesser general public license", 0), (b"gnu lesser genral public license", 1),
+    ]
+
+
 def test_scan_of_nothing(spark):
     assert licenses.license_scan(docs(spark, [])).count() == 0
 
