@@ -42,6 +42,10 @@ NOTICES = (
 )
 
 
+#: Where the allowed edits could change a licence's name into another's: the name, held to one edit.
+NAMES = {"released under the mit license": regex.compile(rb"(?:mit){e<=1}")}
+
+
 @dataclass(frozen=True)
 class Notice:
     label: str
@@ -49,6 +53,7 @@ class Notice:
     edits: int
     pieces: tuple[tuple[int, bytes], ...]
     pattern: regex.Pattern
+    name: regex.Pattern | None
 
 
 @lru_cache(maxsize=4)
@@ -59,7 +64,7 @@ def compiled(notices: tuple = NOTICES) -> tuple[Notice, ...]:
         b = words.encode()
         cuts = [len(b) * i // (k + 1) for i in range(k + 2)]
         pieces = tuple((a, b[a:z]) for a, z in zip(cuts, cuts[1:], strict=False))
-        out.append(Notice(label, b, k, pieces, regex.compile(b"(?be)(?:" + regex.escape(b) + b"){e<=%d}" % k)))
+        out.append(Notice(label, b, k, pieces, regex.compile(b"(?be)(?:" + regex.escape(b) + b"){e<=%d}" % k), NAMES.get(words)))
     return tuple(out)
 
 
@@ -93,7 +98,8 @@ def fuzzy_spans(norm: bytes, notice: Notice) -> list[tuple[int, int, int]]:
         # The best match of the stretch; then what stands before it and what stands behind.
         m = notice.pattern.search(norm, a, z)
         if m and m.end() > m.start():
-            out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+            if notice.name is None or notice.name.search(norm, m.start(), m.end()):
+                out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
             windows += [[a, m.start()], [m.end(), z]]
     return sorted(out)
 

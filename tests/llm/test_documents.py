@@ -111,6 +111,14 @@ def test_a_better_notice_hides_no_earlier_one():
     ]
 
 
+def test_another_licence_is_not_the_mit_licence():
+    for other in ("bsd", "gpl", "isc", "mpl", "zlib"):
+        got = licenses.scan_text(f"released under the {other} license".encode())
+        assert got["labels"] == "" and got["score"] == 0, other
+    assert licenses.scan_text(b"relesed under the mitt license")["labels"] == "mit"
+    assert [e for _, _, _, e in licenses.scan_text(b"released under the isc license released under the mit licence")["spans"]] == [1]
+
+
 def test_scan_of_nothing(spark):
     assert licenses.license_scan(docs(spark, [])).count() == 0
 
