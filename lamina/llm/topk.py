@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import best, clean_vectors, fit_width, search_blocks
 
-#: Quantised components are held to this magnitude, so that 127 products fit a long.
-LARGEST = 1 << 28
+#: Quantised components and scores are below this magnitude, or the query fails.
+LARGEST = 1 << 63
 
 
 def postings_of(m: np.ndarray) -> list[tuple[np.ndarray | None, np.ndarray]]:
@@ -25,7 +25,7 @@ def postings_of(m: np.ndarray) -> list[tuple[np.ndarray | None, np.ndarray]]:
 
 def accumulate(query: np.ndarray, postings: list, n: int) -> np.ndarray:
     """Scatter each term's weighted postings of one sparse query into a dense score array."""
-    scores = np.zeros(n, dtype=np.int64)
+    scores = np.zeros(n, dtype=query.dtype)
     for term in np.flatnonzero(query):
         at, weight = postings[term]
         if at is None:
@@ -35,28 +35,45 @@ def accumulate(query: np.ndarray, postings: list, n: int) -> np.ndarray:
     return scores
 
 
+def whole_numbers(q: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as longs if no sum of products can leave them, else as Python's unbounded integers."""
+    most = np.abs(q).sum(axis=1).max(initial=0.0) * np.abs(m).max(initial=0.0)
+    if most < LARGEST / 2 and max(np.abs(q).max(initial=0.0), np.abs(m).max(initial=0.0)) < LARGEST:
+        return q.astype(np.int64), m.astype(np.int64)
+    exact = np.frompyfunc(int, 1, 1)
+    return exact(q), exact(m)
+
+
 def exact_topk(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score of the k largest integer inner products of each query.
 
-    vectors: vec_id, embedding. Each component x becomes floor(scale * x), held to +-2**28. Queries
+    vectors: vec_id, embedding. Each component x becomes floor(scale * x). Queries
     are the rows whose id is divisible by query_every; candidates are all rows with another id.
+    A component or a score that fits no long fails the query.
 
     Defined cases: rows with a null id, a null vector or a null or non-finite component take no part;
     an empty vector scores 0; of vectors of unlike lengths the shorter is padded with zeros; ties go to
     the smaller id; an id in several rows is one query (its smallest vector) and, as a candidate,
     counts once with its best score; an empty table gives no rows; other columns are not looked at.
     """
-    clean = clean_vectors(vectors).select(
-        "vec_id",
-        F.transform("v", lambda x: F.greatest(F.lit(-float(LARGEST)), F.least(F.lit(float(LARGEST)), F.floor(x * F.lit(float(scale))).cast("double")))).alias("v"),
-    )
+
+    def quantised(x: Column) -> Column:
+        y = x * F.lit(float(scale))
+        return F.when(F.abs(y) < F.lit(float(LARGEST)), F.floor(y).cast("double")).otherwise(F.raise_error(F.lit("a component fits no long")).cast("double"))
+
+    clean = clean_vectors(vectors).select("vec_id", F.transform("v", quantised).alias("v"))
 
     def kernel(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, _: bytes) -> Iterator[tuple]:
         width = max(q.shape[1], m.shape[1])
-        postings = postings_of(fit_width(m, width).astype(np.int64))
-        for i, row in enumerate(fit_width(q, width).astype(np.int64)):
+        rows, columns = whole_numbers(fit_width(q, width), fit_width(m, width))
+        postings = postings_of(columns)
+        for i, row in enumerate(rows):
             scores = accumulate(row, postings, len(ids))
             others = np.flatnonzero(ids != qids[i])
+            if scores.dtype == object:
+                scores[ids == qids[i]] = 0
+            # Unbounded sums that fit no long raise OverflowError here.
+            scores = scores.astype(np.int64)
             at = others[best(scores[others], ids[others], k)] if len(others) < len(ids) else best(scores, ids, k)
             yield i, ids[at], scores[at]
 

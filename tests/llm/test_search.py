@@ -98,3 +98,13 @@ def test_ann_small(spark, data):
 def test_ann_copies_and_scales(spark):
     got = additive_search(table(spark, [(i, [1.0, 2.0]) for i in range(300)] + [(1000, [1e30, 2e30])])).where("query_id = 0").orderBy("rank").collect()
     assert [r.vec_id for r in got] == [1, 2, 3, 4, 5] and abs(got[0].score - 1) < 1e-12
+
+
+def test_large_components_are_not_clamped(spark):
+    rows = [(0, [2.0**22, -1.0]), (1, [2.0**23, 0.5]), (2, [2.0**21, 3.0]), (3, [2.0**24, 1.0]), (4, [-(2.0**24), 0.0])]
+    got = exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).where("query_id = 0").orderBy("rank").collect()
+    q = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    want = sorted(((sum(a * b for a, b in zip(q[0], q[i], strict=True)), i) for i in (1, 2, 3, 4)), key=lambda x: (-x[0], x[1]))
+    assert [(r.score, r.vec_id) for r in got] == want
+    with pytest.raises(Exception, match="long|Overflow|too large"):
+        exact_topk(spark.createDataFrame([(0, [2.0**50]), (1, [2.0**50])], "vec_id long, embedding array<double>")).collect()
