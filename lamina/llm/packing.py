@@ -150,9 +150,9 @@ def encode_documents(documents: DataFrame, tokenizer: str | None, window: int, i
 
 
 def combinations(histogram: dict[int, int], window: int = WINDOW, depth: int = DEPTH, common: int = COMMON) -> list[tuple[int, ...]]:
-    """Shallow multisets of present lengths with the sum `window`, and single lengths that are powers of two."""
+    """Shallow multisets of present lengths with the sum `window`."""
     have = {n for n, c in histogram.items() if c > 0 and 0 < n < window}
-    out = {(n,) for n in have if n & (n - 1) == 0}
+    out: set[tuple[int, ...]] = set()
     for a in have:
         for m in range(1, min(depth, window // a) + 1):
             b = window - m * a

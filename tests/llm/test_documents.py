@@ -184,6 +184,13 @@ def test_plan_uses_combinations():
     assert (a >= 0).all() and abs(a[0] + a[2] - 10) < 0.2 and abs(a[0] + 2 * a[1] - 30) < 0.2
 
 
+def test_powers_of_two_are_packed_too(spark):
+    """Copies of a length that is a power of two fill windows, and only the last remainder is cut."""
+    got = packing.pack(docs(spark, [(i, None) for i in range(1000)]), window=64).collect()
+    full = Counter(r.sequence_id for r in got)
+    assert len(got) == 1000 and sum(n == 64 for n in full.values()) == 15 and len(full) <= 18
+
+
 def test_packing_nothing(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
