@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,7 +18,7 @@ from ..errors import StoreUnavailable, ValidationError
 from ..grid import DEFAULT_GRID, Grid
 from .slicing import KEY
 
-#: Queries of one batch: their vectors go to every task, so their number is bounded.
+#: Queries of one block: their vectors go to every task, so their number is bounded; further ones make further blocks.
 MOST_QUERIES = 10_000
 #: Rows of finds (keys and a score) that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
@@ -46,23 +49,20 @@ def search(
 ) -> DataFrame:
     """query_id, *groups, *keep, tie, score, rank: the k points of largest cosine, for each query and group.
 
-    queries: query_id, vector (at most MOST_QUERIES, checked; they are the stated batch). points: *groups,
+    queries: query_id, vector, taken in blocks of MOST_QUERIES. points: *groups,
     *keep, tie, vector. Each batch of points gives its own k best, so at most k rows a query and group
     leave a batch; a window over these picks the k of all. Order: score descending, tie ascending;
     rank from 0.
     """
     if k < 1:
         raise ValidationError("k is at least 1")
-    rows = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).limit(MOST_QUERIES + 1).collect()
-    if len(rows) > MOST_QUERIES:
-        raise ValidationError(f"a batch holds at most {MOST_QUERIES} queries")
     q_type = queries.schema["query_id"].dataType
-    held = queries.sparkSession.sparkContext.broadcast([(r["query_id"], np.array(r["vector"], dtype=np.float64)) for r in rows])
+    rows = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).toLocalIterator()
     named = [*groups, *keep, tie]
     own = points.select(*named, F.col("vector").cast("array<double>").alias("vector"))
     schema = T.StructType([T.StructField("query_id", q_type), *(own.schema[c] for c in named), T.StructField("score", T.DoubleType())])
 
-    def best(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def best(it: Iterator[pa.RecordBatch], held: Broadcast) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
@@ -104,16 +104,20 @@ def search(
             cols = [pa.array(ids, arrow.field("query_id").type), *(batch.column(c).take(at) for c in named), pa.array(np.concatenate(scores) if scores else np.zeros(0))]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-    found = own.mapInArrow(best, schema)
+    n_queries, found = 0, None
+    while (block := [(r["query_id"], np.array(r["vector"], dtype=np.float64)) for r in islice(rows, MOST_QUERIES)]) or found is None:
+        n_queries += len(block)
+        part = own.mapInArrow(partial(best, held=queries.sparkSession.sparkContext.broadcast(block)), schema)
+        found = part if found is None else found.unionByName(part)
     order = W.partitionBy("query_id", *groups).orderBy(F.desc("score"), F.asc(tie))
     out = found.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
-    out._lamina_bound = len(rows) * MOST_GROUPS * k
+    out._lamina_bound = n_queries * MOST_GROUPS * k
     return out
 
 
 def attach(found: DataFrame, slices: DataFrame) -> DataFrame:
-    """Found keys with all columns of their slices but the vector. A batch's finds are at most queries * sizes *
-    k rows, MOST_QUERIES checked by search(), so they are the broadcast side as long as k is small."""
+    """Found keys with all columns of their slices but the vector. The finds are at most queries * sizes *
+    k rows, counted by search(), so they are the broadcast side as long as k is small."""
     bounded = getattr(found, "_lamina_bound", None)
     small = F.broadcast(found) if bounded is not None and bounded <= BROADCAST_ROWS else found
     return slices.drop("vector").join(small, [*KEY, "point_id"])

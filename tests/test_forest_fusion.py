@@ -111,3 +111,12 @@ def test_search_against_loop(spark):
         for s in (64, 128):
             want = sorted(((-round(cos(v, p[2]), 12), p[0]) for p in vs if p[1] == s))[:4]
             assert [got[q, s, i] for i in range(4)] == [w[1] for w in want]
+
+
+def test_search_goes_on_beyond_a_block_of_queries(spark, monkeypatch):
+    points = spark.createDataFrame([(8, i, [float(i), 1.0]) for i in range(12)], "size int, point_id int, vector array<double>")
+    queries = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(7)], "query_id int, vector array<double>")
+    want = sorted(map(tuple, retrieval.search(queries, points, 3).collect()))
+    monkeypatch.setattr(retrieval, "MOST_QUERIES", 3)
+    got = retrieval.search(queries, points, 3)
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 21
