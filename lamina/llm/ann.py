@@ -101,8 +101,11 @@ def additive_search(
 
     Defined cases: rows with a null id, a null, empty or zero vector or a null or non-finite component
     take no part; shorter vectors are padded with zeros; ties go to the smaller id; an id in several
-    rows is one query (its smallest vector) and counts once as a candidate; an empty table gives no
-    rows; other columns are not looked at.
+    rows is one query (its smallest vector) and, as a candidate, stands once in a result, with its best score; an empty table
+    gives no rows; other columns are not looked at.
+
+    Codes are stored beside their vectors, block by block: a query block meets a block once and reranks on the spot. To
+    fetch the reranked vectors by a join would move more, as `rerank` of each block and query add up to more bytes than the block.
     """
     clean = clean_vectors(vectors, nonzero=True)
     rows = clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).collect()
@@ -110,25 +113,29 @@ def additive_search(
     sample = unit(np.array([r.v + [0.0] * (width - len(r.v)) for r in rows], dtype=np.float64).reshape(len(rows), width))
     model = clean.sparkSession.sparkContext.broadcast(fit(sample, books, words, beam)) if rows else None
 
-    def kernel(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, codes: bytes) -> Iterator[tuple]:
-        w = max(q.shape[1], m.shape[1], width)
-        q, m = fit_width(q, w), fit_width(m, w)
-        books_ = model.value
-        x, uq = unit(m), unit(q)
-        n_books, n_words, d = books_.words.shape
-        norm = np.frombuffer(codes[: 8 * len(ids)], "<f8")
-        codes = np.frombuffer(codes[8 * len(ids) :], np.uint8).reshape(len(ids), n_books).astype(np.int64)
-        flat = books_.words.reshape(-1, d)
-        place = (codes + np.arange(n_books) * n_words).T
-        tables = uq[:, :d] @ flat.T
-        length = np.sqrt((m * m).sum(axis=1))
+    def prepare(ids: np.ndarray, m: np.ndarray, stored: bytes) -> tuple:
+        """Original and unit vectors, their lengths, places of their codewords, norms of their approximations."""
+        n_books, n_words, _ = model.value.words.shape
+        codes = np.frombuffer(stored[8 * len(ids) :], np.uint8).reshape(len(ids), n_books).astype(np.int64)
+        m = fit_width(m, max(m.shape[1], width))
+        return m, unit(m), np.sqrt((m * m).sum(axis=1)), (codes + np.arange(n_books) * n_words).T, np.frombuffer(stored[: 8 * len(ids)], "<f8")
+
+    def kernel(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, prepared: tuple) -> Iterator[tuple]:
+        m, x, length, place, norm = prepared
+        w = max(q.shape[1], m.shape[1])
+        q, m, x = fit_width(q, w), fit_width(m, w), fit_width(x, w)
+        uq, words_ = unit(q), model.value.words
+        tables = uq[:, : words_.shape[2]] @ words_.reshape(-1, words_.shape[2]).T
+        several = len(np.unique(ids)) < len(ids)
         for i, table in enumerate(tables):
             near = table[place[0]]
-            for j in range(1, n_books):
+            for j in range(1, len(place)):
                 near = near + table[place[j]]
             near = near / norm
             near[ids == qids[i]] = -np.inf
             at = best(near, ids, rerank)
+            if several:  # every row of the ids found is scored
+                at = np.flatnonzero(np.isin(ids, ids[at]))
             at = at[ids[at] != qids[i]]
             v = q[i]
             own = float(np.sqrt((v * v).sum()))
@@ -149,4 +156,4 @@ def additive_search(
         return norm.astype("<f8").tobytes() + codes.astype(np.uint8).tobytes()
 
     queries = clean.where(F.pmod("vec_id", F.lit(query_every)) == 0)
-    return search_blocks(queries, clean, kernel, k, "double", code_block).withColumn("rank", F.col("rank").cast("int"))
+    return search_blocks(queries, clean, prepare, kernel, k, "double", code_block).withColumn("rank", F.col("rank").cast("int"))

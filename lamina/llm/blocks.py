@@ -13,8 +13,8 @@ from pyspark.sql import Window as W
 
 from .common import map_batches
 
-#: Rows of a candidate and of a query block, and the most groups that query blocks are copied to.
-CANDIDATE_ROWS, QUERY_ROWS, MOST_GROUPS = 4096, 256, 256
+#: Rows of a candidate and of a query block at most; the groups that query blocks are copied to, at least and for each core.
+CANDIDATE_ROWS, QUERY_ROWS, GROUPS, GROUPS_PER_CORE = 4096, 1024, 256, 4
 BLOCK_SCHEMA = "block_ids binary, lengths binary, vals binary, extra binary"
 
 
@@ -60,34 +60,47 @@ def unpack(ids: bytes, lengths: bytes, vals: bytes) -> tuple[np.ndarray, np.ndar
 
 
 def fit_width(m: np.ndarray, width: int) -> np.ndarray:
-    """The matrix with exactly so many columns, zeros added."""
-    return m if m.shape[1] == width else np.pad(m, ((0, 0), (0, width - m.shape[1])))
+    """The matrix with exactly so many columns, zeros added or the last ones left out."""
+    return m[:, :width] if m.shape[1] >= width else np.pad(m, ((0, 0), (0, width - m.shape[1])))
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k largest scores, ties to the smaller id: partition selection, then an order of what is left."""
+    """Places of the k largest scores of different ids, ties to the smaller id: partition selection, then an order of what is left.
+
+    Where an id stands in several rows its best one counts; the selection grows until it holds k ids.
+    """
     if k <= 0 or not len(scores):
         return np.zeros(0, dtype=np.int64)
-    if k < len(scores):
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= least)
-    else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))[:k]]
+    wanted = k
+    while True:
+        if wanted < len(scores):
+            least = np.partition(scores, len(scores) - wanted)[len(scores) - wanted]
+            at = np.flatnonzero(scores >= least)
+        else:
+            at = np.arange(len(scores))
+        at = at[np.lexsort((ids[at], -scores[at]))]
+        first = np.sort(np.unique(ids[at], return_index=True)[1])
+        if len(first) >= k or wanted >= len(scores):
+            return at[first[:k]]
+        wanted *= 4
 
 
 def search_blocks(
-    queries: DataFrame, candidates: DataFrame, kernel: Callable, k: int, score_type: str, extra: Callable[[np.ndarray], bytes] | None = None
+    queries: DataFrame, candidates: DataFrame, prepare: Callable, kernel: Callable, k: int, score_type: str, extra: Callable[[np.ndarray], bytes] | None = None
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of every query over all candidate blocks.
 
-    kernel(query ids, query matrix, candidate ids, candidate matrix, extra) yields (query index, candidate
-    ids, scores) for at most k candidates, the query's own id left out. Query blocks are copied to a
-    bounded number of groups, candidate blocks are dealt over these, and each meeting of two blocks
-    gives k rows a query at most, so what is merged does not grow with the vectors' width.
+    prepare(candidate ids, matrix, extra) makes of a block what the kernel needs, once for all query blocks that meet it
+    in turn; kernel(query ids, query matrix, candidate ids, prepared) yields (query index, candidate
+    ids, scores) of at most k different candidates, the query's own id left out. An id that stands in several rows is one query
+    (its smallest vector) and one candidate (with its best score).
+
+    Query blocks are copied to a number of groups that is bounded by the cluster's size, candidate blocks are dealt over these,
+    and each meeting of two blocks gives k rows a query at most, so what is merged does not grow with the vectors' width.
     """
     n = candidates.count()
-    groups = max(1, min(MOST_GROUPS, math.ceil(n / CANDIDATE_ROWS)))
+    cores = candidates.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, min(math.ceil(n / CANDIDATE_ROWS), max(GROUPS, GROUPS_PER_CORE * cores)))
     cand = to_blocks(candidates, CANDIDATE_ROWS, extra).withColumn("g", F.pmod(F.xxhash64("block_ids"), F.lit(groups)).cast("int"))
     own = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     q = to_blocks(own, QUERY_ROWS).select(
@@ -97,19 +110,24 @@ def search_blocks(
     pairs = cand.join(q, "g").drop("g")
 
     def score(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held: tuple = (None, None, None, None)
         for batch in it:
             cols = {f: batch.column(f) for f in batch.schema.names}
             for r in range(batch.num_rows):
-                ids, m = unpack(*(cols[c][r].as_py() for c in ("block_ids", "lengths", "vals")))
+                block = tuple(cols[c][r].as_buffer() for c in ("block_ids", "lengths", "vals"))
+                # A candidate block's pairs come one after another.
+                if held[0] is None or not (block[0].equals(held[0]) and block[2].equals(held[1])):
+                    ids, m = unpack(*(b.to_pybytes() for b in block))
+                    held = (block[0], block[2], ids, prepare(ids, m, cols["extra"][r].as_py()))
+                ids, ready = held[2:]
                 qids, qm = unpack(*(cols[f"q_{c}"][r].as_py() for c in ("block_ids", "lengths", "vals")))
-                got = [(np.full(len(c), qids[i]), c, s) for i, c, s in kernel(qids, qm, ids, m, cols["extra"][r].as_py())]
+                got = [(np.full(len(c), qids[i]), c, s) for i, c, s in kernel(qids, qm, ids, ready)]
                 if got:
                     a, b, s = (np.concatenate(x) for x in zip(*got, strict=True))
                     yield {"query_id": a, "vec_id": b, "score": s}
 
     found = map_batches(pairs, score, f"query_id long, vec_id long, score {score_type}")
     first = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    # An id that stands in several rows counts once, with its best score.
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return (
         once.withColumn("rank", F.row_number().over(first))

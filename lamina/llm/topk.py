@@ -35,13 +35,9 @@ def accumulate(query: np.ndarray, postings: list, n: int) -> np.ndarray:
     return scores
 
 
-def whole_numbers(q: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both as longs if no sum of products can leave them, else as Python's unbounded integers."""
-    most = np.abs(q).sum(axis=1).max(initial=0.0) * np.abs(m).max(initial=0.0)
-    if most < LARGEST / 2 and max(np.abs(q).max(initial=0.0), np.abs(m).max(initial=0.0)) < LARGEST:
-        return q.astype(np.int64), m.astype(np.int64)
-    exact = np.frompyfunc(int, 1, 1)
-    return exact(q), exact(m)
+def whole(m: np.ndarray) -> np.ndarray:
+    """Whole numbers as longs where all of them fit, else as Python's unbounded integers."""
+    return m.astype(np.int64) if np.abs(m).max(initial=0.0) < LARGEST else np.frompyfunc(int, 1, 1)(m)
 
 
 def exact_topk(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 256) -> DataFrame:
@@ -53,8 +49,9 @@ def exact_topk(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int
 
     Defined cases: rows with a null id, a null vector or a null or non-finite component take no part;
     an empty vector scores 0; of vectors of unlike lengths the shorter is padded with zeros; ties go to
-    the smaller id; an id in several rows is one query (its smallest vector) and, as a candidate,
-    counts once with its best score; an empty table gives no rows; other columns are not looked at.
+    the smaller id; an id in several rows is one query (its smallest quantised vector) and, as a candidate,
+    stands once in a result, with its best score, so that every query gets its k best ids; an empty table gives no rows; other
+    columns are not looked at.
     """
 
     def quantised(x: Column) -> Column:
@@ -63,10 +60,19 @@ def exact_topk(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int
 
     clean = clean_vectors(vectors).select("vec_id", F.transform("v", quantised).alias("v"))
 
-    def kernel(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray, _: bytes) -> Iterator[tuple]:
-        width = max(q.shape[1], m.shape[1])
-        rows, columns = whole_numbers(fit_width(q, width), fit_width(m, width))
-        postings = postings_of(columns)
+    def prepare(ids: np.ndarray, m: np.ndarray, _: bytes) -> tuple:
+        columns = whole(m)
+        return columns, postings_of(columns), np.abs(m).max(initial=0.0)
+
+    def kernel(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, prepared: tuple) -> Iterator[tuple]:
+        columns, postings, largest = prepared
+        # What one side has beyond the other's width meets zeros.
+        q = fit_width(q, columns.shape[1])
+        if np.abs(q).sum(axis=1).max(initial=0.0) * largest < LARGEST / 2:
+            rows = whole(q)
+        else:  # a sum of products could leave the longs
+            exact = np.frompyfunc(int, 1, 1)
+            rows, postings = exact(q), postings_of(exact(columns))
         for i, row in enumerate(rows):
             scores = accumulate(row, postings, len(ids))
             others = np.flatnonzero(ids != qids[i])
@@ -78,4 +84,4 @@ def exact_topk(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int
             yield i, ids[at], scores[at]
 
     queries = clean.where(F.pmod("vec_id", F.lit(query_every)) == 0)
-    return search_blocks(queries, clean, kernel, k, "long").withColumn("rank", F.col("rank").cast("int"))
+    return search_blocks(queries, clean, prepare, kernel, k, "long").withColumn("rank", F.col("rank").cast("int"))

@@ -108,3 +108,59 @@ def test_large_components_are_not_clamped(spark):
     assert [(r.score, r.vec_id) for r in got] == want
     with pytest.raises(Exception, match="long|Overflow|too large"):
         exact_topk(spark.createDataFrame([(0, [2.0**50]), (1, [2.0**50])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_an_id_in_many_rows_counts_once(spark):
+    rng = np.random.default_rng(8)
+    data = [(i, rng.normal(size=4).tolist()) for i in range(1, 9)] + [(0, [1.0, 0.0, 0.0, 0.0]), (0, [0.5, 0.0, 0.0, 0.0])]
+    data += [(100, [9.0 + j / 100, 0.0, 0.0, 0.0]) for j in range(100)] + [(101, [8.0, 0.1 * (j % 7), 0.0, 0.0]) for j in range(70)]
+    v = {}
+    for i, x in data:
+        v.setdefault(i, []).append(np.array(x))
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = exact_topk(df.repartition(3)).where("query_id = 0").orderBy("rank").collect()
+    q = [math.floor(256 * x) for x in min(map(list, v[0]))]
+    want = sorted((-max(int(np.floor(256 * x).astype(int) @ q) for x in xs), i) for i, xs in v.items() if i)[:5]
+    assert [(-r.score, r.vec_id) for r in got] == want and [r["rank"] for r in got] == [1, 2, 3, 4, 5]
+    near = additive_search(df.repartition(3)).where("query_id = 0").orderBy("rank").collect()
+    q = np.array(min(map(list, v[0])))
+    cos = sorted((-max(float(x @ q / np.linalg.norm(x) / np.linalg.norm(q)) for x in xs), i) for i, xs in v.items() if i)[:5]
+    assert [r.vec_id for r in near] == [i for _, i in cos] and all(abs(r.score + s) < 1e-12 for r, (s, _) in zip(near, cos, strict=True))
+
+
+def test_wide_and_large(spark):
+    """Components of 1e9 in 512 dimensions: sums leave a double's whole numbers, not a long's."""
+    rng = np.random.default_rng(9)
+    data = [(i, np.round(rng.normal(size=512) * (1e6 if i % 3 else 1e3), 2).tolist()) for i in range(60)]
+    got: dict = {}
+    for r in exact_topk(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    q = {i: [math.floor(256 * x) for x in x_] for i, x_ in data}
+    for a in (0, 50):
+        want = sorted((-sum(x * y for x, y in zip(q[a], q[b], strict=True)), b) for b in q if b != a)[:5]
+        assert sorted(got[a]) == [(n + 1, b, -s) for n, (s, b) in enumerate(want)]
+    one = spark.createDataFrame([(0, [1e9, 1.0]), (1, [1.0, 1e9]), (2, [2.0, -1e9])], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in exact_topk(one).where("query_id = 0").orderBy("rank").collect()]
+    assert got == [(1, 2 * 65536 * 10**9), (2, 65536 * 10**9)]
+
+
+def test_repeated_vectors_keep_recall(spark):
+    """Ids in many rows among vectors without structure: recall against brute force."""
+    rng = np.random.default_rng(10)
+    m = rng.normal(size=(4000, 24))
+    ids = np.concatenate([np.arange(3000), np.repeat(rng.integers(0, 3000, 10), 100)])
+    got: dict = {}
+    for r in additive_search(spark.createDataFrame([(int(i), v) for i, v in zip(ids, m.tolist(), strict=True)], "vec_id long, embedding array<double>").repartition(3)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    hits = total = 0
+    for qid in got:
+        own = min(m[ids == qid].tolist())
+        s = unit @ (np.array(own) / np.linalg.norm(own))
+        best_of: dict = {}
+        for i, x in zip(ids.tolist(), s.tolist(), strict=True):
+            if i != qid:
+                best_of[i] = max(best_of.get(i, -9), x)
+        top = {i for i, _ in sorted(best_of.items(), key=lambda x: (-x[1], x[0]))[:5]}
+        hits, total = hits + len(top & got[qid]), total + 5
+    assert len(got) == 60 and hits / total >= 0.95
