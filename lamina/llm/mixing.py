@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import SPACE_CLASS, small_enough
+from .common import SPACE_CLASS, small_enough, whole_row
 
 #: Weights by the source's place in code point order, repeating; the most a source may be repeated;
 #: the largest table of sources that is broadcast.
@@ -57,7 +57,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 def rated(documents: DataFrame, keep_row: bool, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
     """`row` (if keep_row), doc_id, size, source_size, target, copies of every document."""
-    cols = [F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")] if keep_row else []
+    cols = [whole_row(documents)] if keep_row else []
     own = documents.select(
         *cols,
         F.col(id_col).cast("long").alias("doc_id"),
@@ -88,7 +88,11 @@ def mix_plan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def mix(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
-    """The mix itself: each document as often as it is taken, with all its columns as they were."""
+    """The mix itself: each document as often as it is taken, with all its columns as they were.
+
+    Defined cases: as for mix_plan(); documents without words are taken as often as their source's rate says; columns of any name
+    pass through.
+    """
     return (
         rated(documents, True, id_col, text_col, source_col, seed)
         .where(F.col("copies") > 0)
@@ -111,7 +115,6 @@ t AS (SELECT l.*, (SELECT arg_min(level, k) FROM l WHERE ratio >= level) AS wate
 p AS (SELECT source, source_size, CASE WHEN water IS NULL OR ratio < water THEN cap::DOUBLE ELSE weight * water END AS target FROM t),
 q AS (SELECT d.doc_id, d.size, p.source_size, p.target, d.u, CASE WHEN p.source_size > 0 THEN p.target / p.source_size ELSE 0 END AS rate
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size::BIGINT AS size, source_size, target,
-  ((floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) * size)::BIGINT AS taken
-FROM q
+SELECT doc_id, size::BIGINT AS size, source_size, target, copies::INTEGER AS copies, (copies * size)::BIGINT AS taken
+FROM (SELECT *, floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END AS copies FROM q)
 """

@@ -29,7 +29,7 @@ def op2_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(read(spark, sf_dir, "documents")).drop("spans")
+    return license_scan(read(spark, sf_dir, "documents"))
 
 
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_plan(read(spark, sf_dir, "documents")).drop("copies")
+    return mix_plan(read(spark, sf_dir, "documents"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("passages")
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op10_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,8 +63,9 @@ def op10_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i]))::BIGINT AS score
-  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+o AS (SELECT vec_id, min(q) AS q FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, max(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])))::BIGINT AS score
+  FROM o a JOIN v b ON a.vec_id <> b.vec_id GROUP BY a.vec_id, b.vec_id),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5
 """
