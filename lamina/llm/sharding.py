@@ -1,105 +1,110 @@
-"""Sharding by longest-processing-time scheduling: groups stay whole, largest first, to the least-loaded shard."""
+"""Sharding by longest-processing-time scheduling: groups stay whole, largest first, to the least-loaded shard.
+
+Every group is scheduled. Groups of one size are alike to the schedule, so it runs over the histogram of
+group sizes: what a heap would do with a long run of equal groups is found by a level instead of step by step. Groups
+of one size are then numbered, and each number belongs to a shard.
+"""
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise, small_enough
+from .common import join_sized, materialise
+
+#: Rows numbered in one task, about; the largest broadcast table of sizes or offsets.
+NUMBERED, BROADCAST_ROWS = 100_000, 250_000
+
+
+def by_heap(loads: np.ndarray, size: int, n: int) -> np.ndarray:
+    """How many of n units of one size each shard gets, one after another: each to the least-loaded shard (ties to the smaller number)."""
+    heap = [(int(x), s) for s, x in enumerate(loads)]
+    heapq.heapify(heap)
+    got = np.zeros(len(loads), dtype=np.int64)
+    for _ in range(n):
+        load, s = heap[0]
+        got[s] += 1
+        heapq.heapreplace(heap, (load + size, s))
+    return got
+
 
-#: A group of over 1/LARGE_PART of a shard's even share is scheduled by itself; smaller groups ride in
-#: hashed bins, BINS to a shard. So the driver holds at most shards * (LARGE_PART + BINS) sizes.
-LARGE_PART, BINS = 512, 512
+def by_level(loads: np.ndarray, size: int, n: int) -> np.ndarray:
+    """What by_heap gives, in a time that does not grow with n: the heap takes the n smallest of the loads
+    x, x + size, x + 2 size, ... of all shards. Below a level each shard's number of these is known; the last few go by the heap."""
+    below = lambda level: np.maximum(0, -((loads - level) // size))
+    low, high = int(loads.min()), int(loads.max()) + size * (n // len(loads) + 1)
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if below(middle).sum() <= n else (low, middle - 1)
+    got = below(low)
+    return got + by_heap(loads + got * size, size, n - int(got.sum()))
 
 
-def schedule(sizes: Iterable[tuple[object, int]], shards: int) -> dict[object, int]:
-    """Unit -> shard: largest first (ties by unit), each to the least-loaded shard (ties to the smaller number)."""
-    heap = [(0, s) for s in range(shards)]
+def schedule(histogram: Iterable[tuple[int, int]], shards: int) -> dict[int, np.ndarray]:
+    """Size -> how many of its groups each shard gets, from (size, groups): sizes fall, each group goes to the least-loaded shard."""
+    loads = np.zeros(shards, dtype=np.int64)
     out = {}
-    for unit, size in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        load, shard = heapq.heappop(heap)
-        out[unit] = shard
-        heapq.heappush(heap, (load + size, shard))
+    for size, n in sorted(histogram, reverse=True):
+        got = (by_heap if n <= 8 * shards else by_level)(loads, size, n)
+        loads += got * size
+        out[size] = got
     return out
 
 
-def slots(df: DataFrame, group: str, order: list[Column], rows: int) -> DataFrame:
-    """Adds `slot`: gapless from 0 within each group, though a group may be a third of all rows.
+def numbered(df: DataFrame, group: str, sizes: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds `name`: gapless from 0 within each group, though a group may be a third of all rows.
 
-    Rows are numbered inside hashed buckets of a group; a bucket starts after the rows of those before
-    it. Buckets hold about `rows` / buckets rows, and the offsets are groups * buckets numbers.
+    sizes: group and n, its rows. Rows are numbered inside hashed buckets of a group, a bucket for every NUMBERED rows; a
+    bucket starts after the rows of those before it.
     """
-    buckets = max(256, rows // 4_000_000)
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
+    many = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(NUMBERED)))
+    dealt = join_sized(df, sizes.select(group, F.col("n").alias("_n")), [group], BROADCAST_ROWS).withColumn("_bucket", F.pmod(F.xxhash64(*order), many).cast("int"))
+    counts = dealt.groupBy(group, "_bucket").agg(F.count("*").alias("_count"))
     before = W.partitionBy(group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offsets = counts.select(group, "_bucket", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_before"))
     inside = W.partitionBy(group, "_bucket").orderBy(*order)
-    return (
-        dealt.withColumn("_inside", F.row_number().over(inside) - 1)
-        .join(F.broadcast(offsets) if small_enough(offsets, 1_000_000) else offsets, [group, "_bucket"])
-        .withColumn("slot", F.col("_before") + F.col("_inside"))
-        .drop("_bucket", "_inside", "_before")
-    )
+    out = join_sized(dealt.withColumn("_inside", F.row_number().over(inside) - 1), offsets, [group, "_bucket"], BROADCAST_ROWS)
+    return out.withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).drop("_n", "_bucket", "_inside", "_before")
 
 
 def lpt_shards(documents: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard: sizes near equal over the shards, equal texts together.
 
     A document's size is its text's UTF-8 bytes plus 8. Groups of equal texts (known by their XXH64,
-    CRC32 and size) stay whole. Groups above a 1/LARGE_PART of a shard's share are scheduled one by one,
-    the others as hashed bins of whole groups; both kinds go through one largest-first heap. A group larger than
+    CRC32 and size) stay whole, and each is scheduled by its bytes. The driver holds the histogram of group sizes: of T bytes in
+    all there are at most sqrt(2 T) different ones. A group larger than
     an even share fills its shard alone; that is the least maximum possible while it stays whole.
 
     Defined cases: a null text has size 8 and crc null, and null texts are one group; an empty text has
-    size 8 and crc 0; null and repeated ids are kept as rows; an empty table gives no rows; other
-    columns are not looked at.
+    size 8 and crc 0; null and repeated ids are kept as rows; groups of equal size go by their hash; an empty table gives no rows;
+    other columns are not looked at.
     """
     text = F.col(text_col)
     digest = materialise(
         documents.select(
             F.col(id_col).alias("doc_id"),
             (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8).alias("size"),
-            F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+            F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(-1)).alias("crc"),
             F.xxhash64(text).alias("h"),
         ),
         "shard-digest",
     )
-    rows, total = digest.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    key = ["h", "text_crc32", "size"]
-    groups = digest.groupBy(*key).agg(F.count("*").alias("n")).withColumn("bytes", F.col("n") * F.col("size"))
-    bins = shards * BINS
-    bin_of = F.pmod(F.hash(*key), F.lit(bins)).cast("long")
-    large = F.col("bytes") * shards * LARGE_PART > total
-    units = groups.groupBy(
-        F.when(large, F.col("h")).otherwise(bin_of).alias("unit"),
-        large.alias("large"),
-        F.when(large, F.col("text_crc32")).alias("crc"),
-        F.when(large, F.col("size")).alias("each"),
-    ).agg(F.sum("bytes").alias("bytes"))
-    sized = [((r.large, r.unit, r.crc if r.crc is not None else -1, r.each or 0), r.bytes) for r in units.collect()]
-    plan = schedule(sized, shards)
-    spark = documents.sparkSession
-    small_plan = F.broadcast(
-        spark.createDataFrame([(u[1], s) for u, s in plan.items() if not u[0]] or [(0, 0)], "bin long, bin_shard int")
-    )
-    large_plan = F.broadcast(
-        spark.createDataFrame([(u[1], u[2], u[3], s) for u, s in plan.items() if u[0]], "lh long, lcrc long, lsize long, large_shard int")
-    )
-    placed = (
-        digest.join(
-            large_plan,
-            (F.col("h") == F.col("lh")) & (F.coalesce("text_crc32", F.lit(-1)) == F.col("lcrc")) & (F.col("size") == F.col("lsize")),
-            "left",
-        )
-        .withColumn("bin", bin_of)
-        .join(small_plan, "bin", "left")
-        .select("doc_id", "size", "text_crc32", F.coalesce("large_shard", "bin_shard").alias("shard"))
-    )
-    return slots(placed, "shard", [F.col("doc_id"), F.col("text_crc32"), F.col("size")], rows).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+    key = ["h", "crc", "size"]
+    groups = materialise(digest.groupBy(*key).agg(F.count("*").alias("rows")).withColumn("bytes", F.col("rows") * F.col("size")), "shard-groups")
+    sizes = materialise(groups.groupBy("bytes").agg(F.count("*").alias("n")), "shard-sizes")
+    plan = schedule(((r["bytes"], r["n"]) for r in sizes.toLocalIterator()), shards)
+    # Numbers from the start of a stretch on belong to its shard.
+    stretches = ((int(b), (np.cumsum(got) - got)[got > 0].tolist(), np.flatnonzero(got).tolist()) for b, got in plan.items())
+    starts = documents.sparkSession.createDataFrame(list(stretches), "bytes long, starts array<long>, of array<int>")
+    ranked = join_sized(numbered(groups, "bytes", sizes, [F.col(c) for c in key], "number"), starts, ["bytes"], BROADCAST_ROWS)
+    stretch = F.size(F.filter("starts", lambda s: s <= F.col("number")))
+    placed = materialise(join_sized(digest, ranked.select(*key, F.element_at("of", stretch).alias("shard")), key, BROADCAST_ROWS), "shard-placed")
+    rows = placed.groupBy("shard").agg(F.count("*").alias("n"))
+    return numbered(placed, "shard", rows, [F.col("doc_id"), F.col("crc"), F.col("size")], "slot").select(
+        "doc_id", "size", F.when(F.col("crc") >= 0, F.col("crc")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
