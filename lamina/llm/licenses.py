@@ -7,13 +7,17 @@ bounded-error matching verifies the edits there and gives the span.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import ALNUM_TABLE, as_bytes, map_batches
 
@@ -52,19 +56,21 @@ class Notice:
     text: bytes
     edits: int
     pieces: tuple[tuple[int, bytes], ...]
+    grams: tuple[bytes, ...]
     pattern: regex.Pattern
     name: regex.Pattern | None
 
 
 @lru_cache(maxsize=4)
 def compiled(notices: tuple = NOTICES) -> tuple[Notice, ...]:
-    """Notices with their pieces (place, bytes) and bounded-error patterns."""
+    """Notices with their pieces (place, bytes), runs of three bytes and bounded-error patterns."""
     out = []
     for label, words, k in notices:
         b = words.encode()
         cuts = [len(b) * i // (k + 1) for i in range(k + 2)]
         pieces = tuple((a, b[a:z]) for a, z in zip(cuts, cuts[1:], strict=False))
-        out.append(Notice(label, b, k, pieces, regex.compile(b"(?be)(?:" + regex.escape(b) + b"){e<=%d}" % k), NAMES.get(words)))
+        grams = tuple(sorted({b[i : i + 3] for i in range(len(b) - 2)}))
+        out.append(Notice(label, b, k, pieces, grams, regex.compile(b"(?be)(?:" + regex.escape(b) + b"){e<=%d}" % k), NAMES.get(words)))
     return tuple(out)
 
 
@@ -79,29 +85,55 @@ def fuzzy_spans(norm: bytes, notice: Notice) -> list[tuple[int, int, int]]:
     """(start, end, edits) of the notice in word-normalised text, apart from each other, in order.
 
     Every piece of the notice is looked up exactly; each place bounds a window of the notice's length
-    and the allowed edits on either side. Windows that meet are verified as one.
+    and the allowed edits on either side, and windows that start within a notice's length are one. Of all
+    windows' best matches that with the fewest edits is taken first (then the earliest); a window that it reaches into is searched again before and
+    behind it. So windows are short however often the notice stands, and no place is lost: each
+    stretch within the allowed edits meets a span.
     """
-    windows: list[list[int]] = []
-    size, k = len(notice.text), notice.edits
-    starts = {at - place for place, piece in notice.pieces for at in places(norm, piece)}
-    for s in sorted(starts):
-        a, z = max(0, s - k), min(len(norm), s + size + k)
-        if windows and a <= windows[-1][1]:
-            windows[-1][1] = z
-        else:
-            windows.append([a, z])
-    out = []
-    while windows:
-        a, z = windows.pop()
+    size, k, end = len(notice.text), notice.edits, len(norm)
+    least = len(notice.grams) - 3 * k  # an edit touches three runs of three bytes at most
+    waiting: list[tuple[int, int, int, int, int]] = []  # edits, span, window
+
+    def look(a: int, z: int) -> None:
         if z - a < size - k:
-            continue
-        # The best match of the stretch; then what stands before it and what stands behind.
+            return
+        part = norm[a:z]
+        if sum(g in part for g in notice.grams) < least:
+            return
         m = notice.pattern.search(norm, a, z)
         if m and m.end() > m.start():
-            if notice.name is None or notice.name.search(norm, m.start(), m.end()):
-                out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
-            windows += [[a, m.start()], [m.end(), z]]
-    return sorted(out)
+            heapq.heappush(waiting, (sum(m.fuzzy_counts), m.start(), m.end(), a, z))
+
+    starts = sorted({at - place for place, piece in notice.pieces for at in places(norm, piece)})
+    first = 0
+    for i, s in enumerate(starts):
+        if i + 1 == len(starts) or starts[i + 1] - starts[first] > size:
+            look(max(0, starts[first] - k), min(end, s + size + k))
+            first = i + 1
+    taken: list[tuple[int, int, int]] = []
+    while waiting:
+        edits, start, stop, a, z = heapq.heappop(waiting)
+        i = bisect_left(taken, (start,))
+        over = [t for t in taken[max(0, i - 1) : i + 2] if t[0] < stop and start < t[1]]
+        if over:
+            start, stop = over[0][0], over[-1][1]
+        elif notice.name is None or notice.name.search(norm, start, stop):
+            taken.insert(i, (start, stop, edits))
+        look(a, start)
+        look(stop, z)
+    return taken
+
+
+def word_numbers(norm: bytes) -> Callable[[int], int]:
+    """Place in the text -> words begun before it; the spaces are counted once, when first asked for."""
+    spaces: list[np.ndarray] = []
+
+    def number(at: int) -> int:
+        if not spaces:
+            spaces.append(np.flatnonzero(np.frombuffer(norm, np.uint8) == 0x20))
+        return int(np.searchsorted(spaces[0], at))
+
+    return number
 
 
 def scan_text(text: bytes, notices: tuple[Notice, ...] | None = None) -> dict:
@@ -109,23 +141,17 @@ def scan_text(text: bytes, notices: tuple[Notice, ...] | None = None) -> dict:
     notices = compiled() if notices is None else notices
     words = text.translate(ALNUM_TABLE).split()
     norm = b" " + b" ".join(words) + b" "
-    base, n_base, first, last = set(), 0, None, None
-    for phrase, label in BASE:
-        needle = b" " + phrase.encode() + b" "
-        for at in places(norm, needle):
-            word = norm.count(b" ", 0, at)
-            n_base += 1
-            base.add(label)
-            first = word if first is None else min(first, word)
-            last = word if last is None else max(last, word)
+    number = word_numbers(norm)
+    found = [(number(at), label) for phrase, label in BASE for at in places(norm, b" " + phrase.encode() + b" ")]
+    base = {label for _, label in found}
     labels, spans, score = set(base), [], 1.0 if base else 0.0
     for n in notices:
         for a, z, edits in fuzzy_spans(norm, n):
             labels.add(n.label)
-            spans.append((n.label, norm.count(b" ", 0, a + 1) - 1, norm.count(b" ", 0, z) - 1, edits))
+            spans.append((n.label, number(a + 1) - 1, number(z) - 1, edits))
             score = max(score, 1.0 - edits / (2.0 * (n.edits + 1)))
     return {
-        "n_words": len(words), "n_base": n_base, "first_word": first, "last_word": last,
+        "n_words": len(words), "n_base": len(found), "first_word": min((w for w, _ in found), default=None), "last_word": max((w for w, _ in found), default=None),
         "base_labels": ",".join(sorted(base)), "labels": ",".join(sorted(labels)), "score": score, "spans": spans,
     }
 
@@ -141,8 +167,11 @@ def license_scan(documents: DataFrame, notices: tuple = NOTICES, id_col: str = "
 
     Score: 1 with a base phrase; else 1 - edits / (2 * (allowed + 1)) of the best notice; 0 with none.
 
-    Defined cases: a null text is empty (0 words, empty labels, score 0); null and repeated ids are
-    kept; an empty table gives no rows; other columns are not looked at. Whole texts are scanned.
+    spans: the notices' places, apart from each other for one notice, as first and last word (from 0) and edits.
+
+    Defined cases: a null text is empty (0 words, empty labels, score 0, no spans); null and repeated ids are
+    kept; an empty table gives no rows; other columns are not looked at. Whole texts are scanned, in time
+    in proportion to their length.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -153,4 +182,4 @@ def license_scan(documents: DataFrame, notices: tuple = NOTICES, id_col: str = "
             out["spans"] = [[{"label": a, "first_word": b, "last_word": c, "edits": e} for a, b, c, e in g["spans"]] for g in got]
             yield out | {"doc_id": batch.column("doc_id")}
 
-    return map_batches(documents.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text"), run, SCHEMA)
+    return map_batches(documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, SCHEMA)
