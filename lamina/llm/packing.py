@@ -29,8 +29,8 @@ from .common import map_batches, materialise, small_enough
 WINDOW, END = 2048, 1
 #: Most parts of a combination, and how many of the commonest lengths are tried for triples.
 DEPTH, COMMON = 8, 48
-#: Pieces of text that a worker remembers the ids of; the largest broadcast table of rank offsets.
-REMEMBERED, OFFSETS = 200_000, 250_000
+#: Pieces of text that a worker remembers the ids of, and their signs; the largest broadcast table of rank offsets.
+REMEMBERED, SIGNS, OFFSETS = 200_000, 64, 250_000
 
 # Fixed value: how the vocabulary's pre-tokenizer cuts text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -51,19 +51,44 @@ def byte_of_sign() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def plain_byte_level(data: dict) -> bool:
+    """Whether a tokenizer file says no more than encoder() follows: byte-level pieces cut by PATTERN, and merges in the order
+    of their tokens' ids over the 256 bytes."""
+    model, pre, added = data["model"], data.get("pre_tokenizer") or {}, data.get("added_tokens") or []
+    cut = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    merges = [m.split(" ", 1) if isinstance(m, str) else m for m in model.get("merges") or []]
+    vocab = {t: i for t, i in model["vocab"].items() if t not in {a["content"] for a in added}}
+    made = [vocab.get("".join(m), -1) for m in merges]
+    return (
+        model.get("type", "BPE") == "BPE"
+        and not any(data.get(k) for k in ("normalizer", "truncation", "padding"))
+        and {k: pre.get(k) for k in cut} == cut
+        and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        and not any(a.get(k) for a in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+        and sorted(made) == made
+        and set(vocab) == set(byte_of_sign()) | {"".join(m) for m in merges}
+        and len(vocab) == 256 + len(merges)
+        and max((vocab[s] for s in byte_of_sign()), default=0) < min(made, default=1 << 31)
+    )
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Callable[[str], bytes]:
     """text -> ids as little-endian unsigned 32-bit numbers, equal to the tokenizers library's.
 
     The vocabulary's merges are applied by rank. A space before a sign that is no white space always
     starts a token, so text is cut there and pieces seen before are looked up. Texts with other
-    spacing are encoded whole; texts with a special token's string by the tokenizers library itself.
+    spacing are encoded whole; texts with a special token's string by the tokenizers library itself, and so are all texts
+    if the file is not plain_byte_level().
     """
     import tiktoken
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         data = json.load(f)
+    if not plain_byte_level(data):
+        whole_library = Tokenizer.from_file(path)
+        return lambda text: np.array(whole_library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
     special = [t["content"] for t in data["added_tokens"]]
     sign = byte_of_sign()
     ranks = {bytes(sign[c] for c in token): i for token, i in data["model"]["vocab"].items() if token not in special}
@@ -104,7 +129,7 @@ def encoder(path: str) -> Callable[[str], bytes]:
         for i, b in zip(at, found, strict=True):
             out[i] = b
         if len(known) < REMEMBERED:
-            known.update(zip(new, found, strict=True))
+            known.update((p, b) for p, b in zip(new, found, strict=True) if len(p) <= SIGNS)
         return head + b"".join(out)
 
     return encode
