@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_sized, materialise, small_batches
+from .common import join_sized, materialise, small_batches, whole_row
 from .toxicity import training_rows
 
 #: The fit's sample of labelled rows, the score from which a document is kept, and the largest broadcast table of sites.
@@ -169,7 +169,7 @@ def with_quality(documents: DataFrame, labels: DataFrame, host_col: str = "sourc
     """`row` (the whole input row, if keep_row), doc_id, evidence, host_posterior, path_posterior, score."""
     spark = documents.sparkSession
     model = fit(training_rows(documents, labels, "quality", id_col, text_col, SAMPLE_ROWS))
-    cols = [F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row")] if keep_row else []
+    cols = [whole_row(documents)] if keep_row else []
     scored = materialise(
         documents.select(
             *cols,
@@ -209,6 +209,10 @@ def quality(documents: DataFrame, labels: DataFrame, host_col: str = "source", p
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, host_col: str = "source", path_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that score from `threshold` on, with all their columns as they were."""
+    """The documents that score from `threshold` on, with all their columns as they were.
+
+    Defined cases: as for quality(); rows stay or go each by itself, repeated ids and equal rows too; an empty table gives no
+    rows; columns of any name pass through.
+    """
     out = with_quality(documents, labels, host_col, path_col, id_col, text_col, keep_row=True)
     return out.where(F.col("score") >= threshold).select("row.*")

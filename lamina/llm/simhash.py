@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import as_bytes, map_batches, materialise, release
+from .common import as_bytes, column, map_batches, materialise, release, whole_row
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Shingles whose bits are counted at a time.
@@ -188,22 +188,17 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def drop_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, all columns as they were: the one with the smallest id.
+    """One document of each group, all columns as they were: the one with the smallest id, then the smallest hash of its text.
 
-    Defined cases: rows that share an id are one document, that of the text with the smallest hash, and one of
-    repeated rows stays; a group whose smallest id is such a document elsewhere keeps its next one; a null id says nothing, so every group without any other id keeps a document; an empty table
+    Defined cases: documents are told apart by id and text, so unlike texts under one id are documents of their own groups; of
+    rows that share both one stays; a null id comes after all others; an empty table
     gives no rows; columns of any name pass through.
     """
     prints, table = classed(documents, id_col, text_col)
-    # Without an id it is the fingerprint that tells documents apart.
-    apart = F.when(F.col("doc_id").isNull(), F.col("fp")).alias("apart")
-    one = prints.groupBy("doc_id", apart).agg(F.min(F.struct("text_hash", "fp")).alias("text")).select("doc_id", "text.text_hash", "text.fp")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("first")
-    firsts = one.groupBy("fp").agg(first).select("fp", "first.*").join(table.select("fp", "label"), "fp")
+    firsts = prints.groupBy("fp").agg(first).select("fp", "first.*").join(table.select("fp", "label"), "fp")
     keep = firsts.groupBy("label").agg(first).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_hash").alias("kept_hash"))
-    rows = documents.select(
-        F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash")
-    )
+    rows = documents.select(whole_row(documents), column(id_col).cast("long").alias("id"), F.xxhash64(column(text_col)).alias("hash"))
     found = rows.join(keep, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")), "left_semi")
     # A filter on the first row of a window is applied before its shuffle too, so many equal rows do not meet in a task.
     place = F.row_number().over(W.partitionBy("id", "hash").orderBy(F.xxhash64(F.to_json("row"))))
