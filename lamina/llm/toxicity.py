@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM_TABLE, as_bytes, crc_mod, map_batches, small_batches
 
-#: Bounds of the fit: labelled rows used (those of the smallest hashed ids) and their bytes of text; scored words, starts kept.
-SAMPLE_ROWS, SAMPLE_BYTES, FEATURES = 6_000, 32 << 20, 60_000
+#: Bounds of the fit: labelled rows used (those of the smallest hashed ids) and their bytes of text.
+SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 32 << 20
 #: A text is called toxic from this score on.
 THRESHOLD = 0.7
 
@@ -48,7 +48,7 @@ class Model:
     bias: float
 
 
-def log_odds(toxic: Counter, clean: Counter, prior: float = 20.0, features: int = FEATURES) -> tuple[dict, dict]:
+def log_odds(toxic: Counter, clean: Counter, prior: float = 20.0) -> tuple[dict, dict]:
     """Shrunk log-odds of words and of starts; each level's Dirichlet prior has the rates of the level above."""
     nt, nc = max(1, sum(toxic.values())), max(1, sum(clean.values()))
     four: tuple[Counter, Counter] = (Counter(), Counter())
@@ -81,23 +81,35 @@ def log_odds(toxic: Counter, clean: Counter, prior: float = 20.0, features: int
             d = math.log(share / (1 - share))
             z = d / math.sqrt(var)
             out[w] = d * z * z / (z * z + 4.0)
-        keep = sorted(out.items(), key=lambda x: (-abs(x[1]), x[0]))[:features]
-        return dict(keep)
+        return out
 
     return scored(lw), scored(l6)
 
 
 def token_scores(words: Sequence[bytes], model: Model) -> np.ndarray:
-    """Each token's score less the drift. What counts for toxicity counts less with each repeat of the same
-    word in a text (the j-th time by a j-th): repeats are not independent evidence."""
+    """Each token's score less the drift."""
     get, stem = model.words.get, model.stems.get
     raw = [get(w) for w in words]
-    out = np.array([stem(b"6" + w[:6], 0.0) if s is None else s for s, w in zip(raw, words, strict=True)], dtype=np.float64)
-    seen: Counter = Counter()
-    for i in np.flatnonzero(out > 0.3).tolist():
-        seen[words[i]] += 1
-        out[i] /= seen[words[i]]
-    return out - model.drift
+    out = [stem(b"6" + w[:6], 0.0) if s is None else s for s, w in zip(raw, words, strict=True)]
+    return np.array(out, dtype=np.float64) - model.drift
+
+
+def passages(words: Sequence[bytes], model: Model) -> list[tuple[int, int, float]]:
+    """All maximal passages (start, end, score). Repeats of a word within a passage are not independent evidence: the j-th
+    counts by a j-th, and the passage is scanned anew with what then is left. Each passage starts counting afresh, so a copy of a
+    passage further on scores as much as the first."""
+    scores = token_scores(words, model) if words else np.zeros(0)
+    out = []
+    for a, z, total in segments(scores):
+        own, seen = scores[a:z], Counter()
+        damped = own
+        if len(set(words[a:z])) < z - a:
+            damped = own.copy()
+            for i in np.flatnonzero(own > 0).tolist():
+                seen[words[a + i]] += 1
+                damped[i] = (own[i] + model.drift) / seen[words[a + i]] - model.drift
+        out += [(a, z, total)] if damped is own else [(a + i, a + j, s) for i, j, s in segments(damped)]
+    return out
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -148,12 +160,12 @@ def tail_rate(scores: np.ndarray) -> float:
 
 def evidence(segs: list[tuple[int, int, float]], n: int, model: Model) -> float:
     """Minus log of the expected number of such passages in an ordinary text of n tokens, for the best passage,
-    with what further significant passages add (their scores above the level of one expected passage)."""
+    with what all further significant passages add (half their scores above the level of one expected passage)."""
     if not segs:
         return -2.0
     level = math.log(max(model.k * max(n, 1), 1e-9))
     s = sorted((model.lam * x[2] - level for x in segs), reverse=True)
-    return max(-2.0, s[0] + 0.5 * sum(x for x in s[1:4] if x > 0))
+    return max(-2.0, s[0] + 0.5 * sum(x for x in s[1:] if x > 0))
 
 
 def fit(rows: Iterable[tuple[bytes, int]]) -> Model:
@@ -171,9 +183,9 @@ def fit(rows: Iterable[tuple[bytes, int]]) -> Model:
     def counts(part) -> tuple[Counter, Counter]:
         t, c = Counter(), Counter()
         for w, y in parsed(part):
-            # A text counts a word a few times at most: one repetitive text is not evidence of many.
+            # A text's further uses of a word count by their logarithm: one repetitive text is not evidence of many.
             own = Counter(w)
-            (t if y else c).update({k: min(n, 3) for k, n in own.items()})
+            (t if y else c).update({k: 1 + math.log(n) for k, n in own.items()})
         return t, c
 
     def law(words: dict, stems: dict, part) -> Model:
@@ -184,7 +196,8 @@ def fit(rows: Iterable[tuple[bytes, int]]) -> Model:
         shifted = all_clean - drift
         lam = min(3.0, tail_rate(shifted))
         # K from the mean of the best passage of ordinary texts: E(max) = (ln(K n) + 0.5772) / lambda
-        best = [(max((s[2] for s in segments(x - drift)), default=0.0), len(x)) for x in clean]
+        lowered = Model(words, stems, drift, lam, 1.0, 1.0, 0.0)
+        best = [(max((s[2] for s in passages(w, lowered)), default=0.0), len(w)) for w, y in parsed(part) if not y and w]
         k = math.exp(float(np.mean([lam * m - 0.5772 - math.log(n) for m, n in best]))) if best else 1.0
         return Model(words, stems, drift, lam, max(k, 1e-6), 1.0, 0.0)
 
@@ -194,7 +207,7 @@ def fit(rows: Iterable[tuple[bytes, int]]) -> Model:
         m = law(*log_odds(*counts(other)), own)
         laws.append((m.drift, m.lam, math.log(m.k)))
         for w, y in parsed(own):
-            xs.append(evidence(segments(token_scores(w, m)), len(w), m))
+            xs.append(evidence(passages(w, m), len(w), m))
             ys.append(y)
     slope, bias = logistic(np.array(xs), np.array(ys, dtype=np.float64))
     words, stems = log_odds(*counts(rows))
@@ -223,7 +236,7 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, fl
 def score_text(text: bytes, model: Model) -> tuple[float, list[tuple[int, int, float]]]:
     """Score from 0 to 1 and the significant passages (their expected number in ordinary text is below one)."""
     words = tokens_of(text)
-    segs = segments(token_scores(words, model)) if words else []
+    segs = passages(words, model)
     x = evidence(segs, len(words), model)
     level = math.log(max(model.k * max(len(words), 1), 1e-9))
     score = 1 / (1 + math.exp(-max(-30.0, min(30.0, model.slope * x + model.bias))))
@@ -274,6 +287,8 @@ def toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     Trained on at most SAMPLE_ROWS labelled rows whose crc32(id as text) mod 3 is not 1; scores look at
     the text only.
+    passages: first_word and end_word (from 0, the end left out) and score of every passage of which an ordinary text of that
+    length has less than one expected.
 
     Defined cases: a null or empty text has no passage and the score of no evidence; a null id is held
     out as the empty text's crc says; repeated ids are kept; without labelled rows every score is low;
@@ -298,7 +313,10 @@ def toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def toxicity_column(documents: DataFrame, labels: DataFrame, text: Column) -> Column:
-    """The score as a column, for filters that keep all columns of their input."""
+    """The score as a column, for filters that keep all columns of their input.
+
+    Defined cases: a null or empty text has the score of no evidence; without labelled rows every score is low.
+    """
     model = documents.sparkSession.sparkContext.broadcast(toxicity_model(documents, labels))
     small_batches(documents.sparkSession)
 
