@@ -87,3 +87,19 @@ def test_stages(spark, sf_dir):
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+
+
+def test_empty_tables_and_further_columns(spark, tmp_path):
+    """No document and no label; then columns whose names clash with those that the stages make."""
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/e/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/e/labels.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/e").count() == 0
+    rows = [(i, words(60, i), "en", "s", 1, "r", 2, "x", 3.0) for i in range(40)] + [(None, None, None, None, None, None, None, None, None)] * 3
+    clash = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string, place int, `_p` string, score double")
+    clash.write.parquet(f"{tmp_path}/c/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/c/labels.parquet")
+    d = spark.read.parquet(f"{tmp_path}/c/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        d = stage(spark, d, f"file://{tmp_path}/c")
+        assert d.columns == clash.columns, name
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/c").count() > 0
