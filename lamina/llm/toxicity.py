@@ -24,6 +24,8 @@ from .common import ALNUM_TABLE, as_bytes, crc_mod, map_batches, small_batches
 
 #: Bounds of the fit: labelled rows used (those of the smallest hashed ids) and their bytes of text.
 SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 32 << 20
+#: A passage is significant if ordinary texts of that length have fewer than one in twenty of them: minus log of that number.
+SIGNIFICANT = math.log(20)
 #: A text is called toxic from this score on.
 THRESHOLD = 0.7
 
@@ -158,14 +160,26 @@ def tail_rate(scores: np.ndarray) -> float:
     return high
 
 
-def evidence(segs: list[tuple[int, int, float]], n: int, model: Model) -> float:
-    """Minus log of the expected number of such passages in an ordinary text of n tokens, for the best passage,
-    with what all further significant passages add (half their scores above the level of one expected passage)."""
+def surplus(score: float, n: int, model: Model) -> float:
+    """Minus log of the expected number of passages of at least this score in an ordinary text of n tokens."""
+    return model.lam * score - math.log(max(model.k * max(n, 1), 1e-9))
+
+
+def evidence(segs: list[tuple[int, int, float]], words: Sequence[bytes], model: Model) -> float:
+    """The surplus of the best passage, and half of what each further one has beyond SIGNIFICANT. All of them count; the j-th
+    passage with the same words counts by a j-th, as a text that says one thing over and over says it once."""
     if not segs:
         return -2.0
-    level = math.log(max(model.k * max(n, 1), 1e-9))
-    s = sorted((model.lam * x[2] - level for x in segs), reverse=True)
-    return max(-2.0, s[0] + 0.5 * sum(x for x in s[1:] if x > 0))
+    ordered = sorted(((surplus(s, len(words), model), a, z) for a, z, s in segs), reverse=True)
+    out, said = ordered[0][0], Counter()
+    for x, a, z in ordered:
+        if x <= SIGNIFICANT:
+            break
+        passage = tuple(words[a:z])
+        said[passage] += 1
+        if (a, z) != ordered[0][1:]:
+            out += 0.5 * (x - SIGNIFICANT) / said[passage]
+    return max(-2.0, out)
 
 
 def fit(rows: Iterable[tuple[bytes, int]]) -> Model:
@@ -207,7 +221,7 @@ def fit(rows: Iterable[tuple[bytes, int]]) -> Model:
         m = law(*log_odds(*counts(other)), own)
         laws.append((m.drift, m.lam, math.log(m.k)))
         for w, y in parsed(own):
-            xs.append(evidence(passages(w, m), len(w), m))
+            xs.append(evidence(passages(w, m), w, m))
             ys.append(y)
     slope, bias = logistic(np.array(xs), np.array(ys, dtype=np.float64))
     words, stems = log_odds(*counts(rows))
@@ -234,13 +248,12 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, fl
 
 
 def score_text(text: bytes, model: Model) -> tuple[float, list[tuple[int, int, float]]]:
-    """Score from 0 to 1 and the significant passages (their expected number in ordinary text is below one)."""
+    """Score from 0 to 1 and the significant passages."""
     words = tokens_of(text)
     segs = passages(words, model)
-    x = evidence(segs, len(words), model)
-    level = math.log(max(model.k * max(len(words), 1), 1e-9))
+    x = evidence(segs, words, model)
     score = 1 / (1 + math.exp(-max(-30.0, min(30.0, model.slope * x + model.bias))))
-    return score, [s for s in segs if model.lam * s[2] > level]
+    return score, [s for s in segs if surplus(s[2], len(words), model) > SIGNIFICANT]
 
 
 def training_rows(
@@ -287,8 +300,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     Trained on at most SAMPLE_ROWS labelled rows whose crc32(id as text) mod 3 is not 1; scores look at
     the text only.
-    passages: first_word and end_word (from 0, the end left out) and score of every passage of which an ordinary text of that
-    length has less than one expected.
+    passages: first_word and end_word (from 0, the end left out) and score of every significant passage.
 
     Defined cases: a null or empty text has no passage and the score of no evidence; a null id is held
     out as the empty text's crc says; repeated ids are kept; without labelled rows every score is low;

@@ -569,9 +569,16 @@ def test_every_copy_of_a_passage_counts():
     got = toxicity.passages(text, model)
     assert [(a, z) for a, z, _ in got] == [(33 * i, 33 * i + 3) for i in range(5)]
     assert all(math.isclose(s, 2.5 + 1.5 + 1.0) for _, _, s in got)
-    one, five = (toxicity.evidence(got[:n], len(text), model) for n in (1, 5))
-    level = math.log(0.01 * len(text))
-    assert math.isclose(five - one, 4 * 0.5 * (5.0 - level))
+    x = 5.0 - math.log(0.01 * len(text))
+    one, five = (toxicity.evidence(got[:n], text, model) for n in (1, 5))
+    assert math.isclose(one, x) and math.isclose(five - one, 0.5 * (x - toxicity.SIGNIFICANT) * sum(1 / j for j in range(2, 6)))
+    assert toxicity.score_text(b" ".join(text), model)[1] == got
+    # Unlike passages count in full, however many.
+    many = [w for i in range(9) for w in (*quiet, b"vile", b"awful", b"x%d" % i, b"vile")]
+    model.words.update({b"x%d" % i: 1.0 for i in range(9)})
+    segs = toxicity.passages(many, model)
+    x = [toxicity.surplus(s, len(many), model) for *_, s in segs]
+    assert len(segs) == 9 and math.isclose(toxicity.evidence(segs, many, model), x[0] + 8 * 0.5 * (x[0] - toxicity.SIGNIFICANT))
     # A word said over and over is no passage of its own.
     assert max(s for _, _, s in toxicity.passages([b"meh"] * 400, model)) < 0.2
 
