@@ -32,6 +32,10 @@ from .common import as_bytes, map_batches, materialise, release
 
 #: Gain of a sweep, in nats a training token, below which classes count as settled; contexts of words weighed at a time.
 TOLERANCE, WEIGHED = 0.01, 1 << 16
+#: Counts of a word with a context whose worth is reckoned once for all words.
+SMALL = (1, 2, 3)
+#: Stripes that a matrix of bigrams is cut into, and groups of tasks, when it is summed up.
+STRIPES, TASK_GROUPS = 64, 64
 #: Passes over which words take turns, for rare ones and for those of over a 1,024th of the tokens.
 RARE, COMMON = 2, 4
 #: Text of a chunk and text per hash bucket, in bytes; words the start is made from, on the driver; classes; weight of the class model.
@@ -203,11 +207,13 @@ def local_class(h: np.ndarray, ids: np.ndarray, classes: np.ndarray, missing: in
 
 
 def head_bigrams(chunks: DataFrame, head: np.ndarray) -> np.ndarray:
-    """Training bigram counts among the head words (last row and column: all others). Each task adds up its chunks,
-    a few groups add up tasks: what reaches the driver is a fixed number of matrices of a fixed size."""
+    """Training bigram counts among the head words (last row and column: all others). Each task adds up its chunks and cuts the
+    matrix into stripes, which are summed by groups of tasks and then over these: a matrix of a fixed size reaches the driver."""
     size = len(head) + 1
     held = chunks.sparkSession.sparkContext.broadcast(head)
 
+    width = -(-size * size // STRIPES)
+
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         total = np.zeros(size * size, dtype=np.int64)
         ids = held.value
@@ -217,24 +223,26 @@ def head_bigrams(chunks: DataFrame, head: np.ndarray) -> np.ndarray:
                 cls = local_class(np.frombuffer(r["hashes"], "<u8"), ids, np.arange(len(ids)), len(ids))
                 a, b = neighbours(lengths, tokens, r["ends"], flags % 2 == 0)
                 total += np.bincount(cls[a].astype(np.int64) * size + cls[b], minlength=size * size)
-        key = np.flatnonzero(total)
-        yield {"g": [TaskContext.get().partitionId() % 64], "k": [i8(key)], "m": [i8(total[key])]}
+        group = TaskContext.get().partitionId() % TASK_GROUPS
+        parts = [(s, total[s * width : (s + 1) * width]) for s in range(STRIPES)]
+        found = [(s, np.flatnonzero(part), part) for s, part in parts if part.any()]
+        yield {"g": [group] * len(found), "s": [s for s, _, _ in found], "k": [u4(k) for _, k, _ in found], "m": [i8_planes(p[k]) for _, k, p in found]}
 
     def add(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        total = np.zeros(size * size, dtype=np.int64)
+        total = np.zeros(width, dtype=np.int64)
         for r in rows:
-            total[np.frombuffer(r["k"], "<i8")] += np.frombuffer(r["m"], "<i8")
-        key = np.flatnonzero(total)
-        return pa.table({"g": pa.array([rows[0]["g"] % 8], pa.int64()), "k": pa.array([i8(key)], pa.binary()), "m": pa.array([i8(total[key])], pa.binary())})
+            total[np.frombuffer(r["k"], "<u4")] += from_i8_planes(r["m"])
+        k = np.flatnonzero(total)
+        return pa.table({"g": pa.array([0], pa.int64()), "s": pa.array([rows[0]["s"]], pa.int64()), "k": pa.array([u4(k)], pa.binary()), "m": pa.array([i8_planes(total[k])], pa.binary())})
 
-    schema = "g long, k binary, m binary"
+    schema = "g long, s long, k binary, m binary"
     counted = map_batches(chunks.select("chunk", "ids", "lengths", "tokens", "hashes", "ends"), count, schema)
-    added = counted.groupBy("g").applyInArrow(add, schema).groupBy("g").applyInArrow(add, schema)
-    out = np.zeros(size * size, dtype=np.int64)
+    added = counted.groupBy("g", "s").applyInArrow(add, schema).groupBy("s").applyInArrow(add, schema)
+    out = np.zeros(width * STRIPES, dtype=np.int64)
     for r in added.toLocalIterator():
-        out[np.frombuffer(r["k"], "<i8")] += np.frombuffer(r["m"], "<i8")
-    return out.reshape(size, size)
+        out[r["s"] * width : (r["s"] + 1) * width][np.frombuffer(r["k"], "<u4")] += from_i8_planes(r["m"])
+    return out[: size * size].reshape(size, size)
 
 
 def xlogx(x: np.ndarray) -> np.ndarray:
@@ -447,12 +455,15 @@ def best_moves(key: np.ndarray, m: np.ndarray, of: np.ndarray, table: np.ndarray
     """Classes after each word with contexts went to the class that raises the likelihood most, all others staying.
 
     key: word * (2 classes + 1) + context, sorted; m: their counts; of: classes now; table: class bigrams now.
+
+    What a context adds to a cell of the table is worth the same for all words with that context and count, unless it is the word's own
+    class: so small counts go through a few matrix products, and only what is left is weighed cell by cell.
     """
     classes, out = len(table), of.copy()
     wide = 2 * classes + 1
     table = table.astype(np.float64)
     both, diagonal = np.concatenate([table, table.T]), np.diag(table)
-    sums = table.sum(axis=1), table.sum(axis=0)
+    worth = {c: xlogx(both + c) - xlogx(both) for c in SMALL}
     word = key // wide
     firsts = np.flatnonzero(np.diff(word, prepend=-1))
     a = 0
@@ -465,30 +476,51 @@ def best_moves(key: np.ndarray, m: np.ndarray, of: np.ndarray, table: np.ndarray
         seen = np.zeros((n, wide))
         seen[i, x] = count
         before, after, own = seen[:, :classes], seen[:, classes:-1], seen[:, -1]
-        itself = x == 2 * classes
-        x, count, k_of = np.where(itself, 0, x), np.where(itself, 0.0, count), k[i]
-        # Cells that the word's bigrams would go to, with the word taken out of its class.
-        cell = both[x]
-        cell[np.arange(len(x)), k_of] -= count
-        home = np.flatnonzero((x % classes == k_of) & ~itself)
-        cell[home] -= np.where((x[home] < classes)[:, None], after[i[home]], before[i[home]])
-        cell[home, k_of[home]] -= own[i[home]]
-        gain = np.add.reduceat(xlogx(cell + count[:, None]) - xlogx(cell), firsts[a:z] - start, axis=0)
         at = np.arange(n), k
-        d = np.repeat(diagonal[None, :], n, axis=0)
-        d[at] -= before[at] + after[at] + own
-        gain += xlogx(d + before + after + own[:, None]) - xlogx(d + before) - xlogx(d + after) + xlogx(d)
-        for total, side in zip(sums, (after, before), strict=True):
+        # Bigrams with other words' classes. The word is taken out of its own class first, so that class is reckoned apart.
+        others = x != 2 * classes
+        i, x, count = i[others], x[others], count[others]
+        home = x % classes == k[i]
+        small = ~home & (count <= SMALL[-1])
+        gain = np.zeros((n, classes))
+        for c in SMALL:
+            of_count = np.zeros((n, 2 * classes))
+            mine = small & (count == c)
+            of_count[i[mine], x[mine]] = 1.0
+            gain += of_count @ worth[c]
+        rest = np.flatnonzero(~small)
+        cell = both[x[rest]]
+        near = np.flatnonzero(home[rest])
+        cell[near] -= np.where((x[rest][near] < classes)[:, None], after[i[rest][near]], before[i[rest][near]])
+        cell[near, k[i[rest][near]]] -= own[i[rest][near]]
+        add_by_word(gain, i[rest], xlogx(cell + count[rest][:, None]) - xlogx(cell))
+        stay = both[x, k[i]]
+        at_home = np.flatnonzero(home)
+        stay[at_home] -= np.where(x[at_home] < classes, after[i[at_home], k[i[at_home]]], before[i[at_home], k[i[at_home]]]) + own[i[at_home]]
+        gain[at] = np.bincount(i, weights=xlogx(stay) - xlogx(stay - count), minlength=n)
+        # The word's bigrams between its own places: only where it has both neighbours of a class, or itself.
+        rows, cols = np.nonzero(((before > 0) & (after > 0)) | (own > 0)[:, None])
+        d, l, r, o = diagonal[cols], before[rows, cols], after[rows, cols], own[rows]
+        d = np.where(cols == k[rows], d - l - r - o, d)
+        gain[rows, cols] += xlogx(d + l + r + o) - xlogx(d + l) - xlogx(d + r) + xlogx(d)
+        for total, side in ((table.sum(axis=1), after), (table.sum(axis=0), before)):
             tokens = side.sum(axis=1) + own
-            rest = np.repeat(total[None, :], n, axis=0)
-            rest[at] -= tokens
-            gain -= xlogx(rest + tokens[:, None]) - xlogx(rest)
+            sizes, which = np.unique(tokens, return_inverse=True)
+            gain[at] += (xlogx(total + sizes[:, None]) - xlogx(total))[which, k] - xlogx(total[k]) + xlogx(total[k] - tokens)
+            gain -= (xlogx(total + sizes[:, None]) - xlogx(total))[which]
         best = gain.argmax(axis=1)
         out[w] = np.where(gain[np.arange(n), best] > gain[at] + 1e-5, best, k)
         a = z
     return out
 
 
+def add_by_word(gain: np.ndarray, i: np.ndarray, x: np.ndarray) -> None:
+    """Add rows of x to the rows i (sorted) of gain."""
+    if len(i):
+        firsts = np.flatnonzero(np.diff(i, prepend=-1))
+        gain[i[firsts]] += np.add.reduceat(x, firsts, axis=0)
+
+
 def likelihood(table: np.ndarray) -> float:
     """Log-likelihood of the training bigrams, but for what does not depend on the classes."""
     t = table.astype(np.float64)
