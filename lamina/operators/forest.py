@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..errors import ValidationError
@@ -13,50 +12,59 @@ from .slicing import KEY
 Q = ["query_id", *KEY]
 
 
-def nests(parent: str, child: str) -> Column:
-    """Whether the parent's span encloses the child's, in the same document and at a larger size."""
-    p, c = (lambda n: F.col(f"{parent}.{n}")), (lambda n: F.col(f"{child}.{n}"))
-    return (
-        (p("document_id") == c("document_id"))
-        & (p("size") > c("size"))
-        & (p("codepoint_offset") <= c("codepoint_offset"))
-        & (c("codepoint_offset") + c("codepoint_length") <= p("codepoint_offset") + p("codepoint_length"))
-    )
+def check_aligned(hits: DataFrame) -> None:
+    if hits.where(F.col("codepoint_offset") % F.col("size") != 0).limit(1).count():
+        raise ValidationError("a hit's offset is not a multiple of its size")
 
 
-def contains(parent: str, child: str) -> Column:
-    return nests(parent, child) & F.array_contains(F.col(f"{parent}.descendant_markers"), F.col(f"{child}.own_marker"))
+def one_of_each(hits: DataFrame, order: str | None = None, last: bool = False) -> DataFrame:
+    """One hit of each coordinate of a query: the first by `order` (a column; without it by all columns), or the last."""
+    rest = F.struct(*(c for c in hits.columns if c not in Q))
+    by = F.col(order) if order else rest
+    kept = hits.groupBy(*Q).agg((F.max_by if last else F.min_by)(rest, by).alias("kept"))
+    return kept.select(*Q, "kept.*").select(*hits.columns)
 
 
-def check_aligned(hits: DataFrame) -> None:
-    if hits.where(F.col("codepoint_offset") % F.col("size") != 0).limit(1).count():
-        raise ValidationError("a hit's offset is not a multiple of its size")
+def input_order(hits: DataFrame) -> str | None:
+    """The column that numbers hits as they came: seq, or the fused rank."""
+    return next((c for c in ("seq", "fused_rank") if c in hits.columns), None)
 
 
-def first_of_each(hits: DataFrame, order: str = "seq") -> DataFrame:
-    """The first hit of each coordinate, by the input's sequence number."""
-    rank = F.row_number().over(W.partitionBy(*Q).orderBy(order))
-    return hits.withColumn("_first", rank).where("_first = 1").drop("_first")
+def nests() -> Column:
+    """Whether the parent's span encloses the child's at a larger size: columns size, codepoint_offset, end and parent_size, parent_offset, parent_end."""
+    return (F.col("parent_size") > F.col("size")) & (F.col("parent_offset") <= F.col("codepoint_offset")) & (F.col("end") <= F.col("parent_end"))
+
+
+def contains() -> Column:
+    """Whether the parent encloses the child and vouches for it: its descendants hold the child's marker."""
+    return nests() & F.array_contains("descendant_markers", F.col("own_marker"))
 
 
 def candidate_links(hits: DataFrame, grid: Grid = DEFAULT_GRID) -> DataFrame:
-    """Every hit with every enclosing hit of its query: child key, parent_size, parent_offset, vouched."""
-    up = hits.select(*Q, "own_marker", "codepoint_length", F.explode(grid.ancestors_column(F.col("size"), F.col("codepoint_offset"))).alias("a"))
-    child = up.select(*Q, "own_marker", (F.col("codepoint_offset") + F.col("codepoint_length")).alias("child_end"), F.col("a.size").alias("parent_size"), F.col("a.codepoint_offset").alias("parent_offset"))
+    """Every hit with every enclosing hit of its query: child key, parent_size, parent_offset, vouched. hits: one of each coordinate.
+
+    Only the grid's place above a slice can enclose it, so this is an equi-join on places, not a join on ranges.
+    """
+    end = F.col("codepoint_offset") + F.col("codepoint_length")
+    up = hits.select(*Q, "own_marker", end.alias("end"), F.explode(grid.ancestors_column(F.col("size"), F.col("codepoint_offset"))).alias("a"))
+    child = up.select(*Q, "own_marker", "end", F.col("a.size").alias("parent_size"), F.col("a.codepoint_offset").alias("parent_offset"))
     parent = hits.select(
-        "query_id", "document_id", F.col("size").alias("parent_size"), F.col("codepoint_offset").alias("parent_offset"),
-        "descendant_markers", (F.col("codepoint_offset") + F.col("codepoint_length")).alias("parent_end"),
+        "query_id", "document_id", F.col("size").alias("parent_size"), F.col("codepoint_offset").alias("parent_offset"), "descendant_markers", end.alias("parent_end"),
     )
     joined = child.join(parent, ["query_id", "document_id", "parent_size", "parent_offset"])
-    return joined.where(F.col("child_end") <= F.col("parent_end")).select(*Q, "parent_size", "parent_offset", F.array_contains("descendant_markers", F.col("own_marker")).alias("vouched"))
+    return joined.where(nests()).select(*Q, "parent_size", "parent_offset", contains().alias("vouched"))
 
 
 def build_forest(hits: DataFrame, grid: Grid = DEFAULT_GRID) -> tuple[DataFrame, DataFrame]:
     """(forest, anomalies).
 
-    forest: one row a hit with parent_size, parent_offset of its minimal parent, null for roots: the
+    forest: one row a coordinate with parent_size, parent_offset of its minimal parent, null for roots: the
     smallest enclosing hit that vouches for it. anomalies: enclosing hits below that parent that do not.
+
+    A coordinate that was hit several times counts as its first hit; a hit off the grid is an error.
     """
+    check_aligned(hits)
+    hits = one_of_each(hits, input_order(hits))
     links = candidate_links(hits, grid)
     minimal = links.groupBy(*Q).agg(F.min(F.when(F.col("vouched"), F.struct("parent_size", "parent_offset"))).alias("p"))
     forest = hits.select(*Q).join(minimal, Q, "left").select(*Q, F.col("p.parent_size"), F.col("p.parent_offset"))
@@ -99,6 +107,11 @@ def _parents(forest: DataFrame) -> DataFrame:
     return edges(forest).select("query_id", "document_id", F.col("parent_size").alias("size"), F.col("parent_offset").alias("codepoint_offset")).distinct()
 
 
+def minimal_parent(forest: DataFrame, keys: DataFrame) -> DataFrame:
+    """(query_id, key, parent_size, parent_offset) of the asked coordinates; those that are no hits are left out, roots have nulls."""
+    return keys.select(*Q).distinct().join(forest, Q)
+
+
 def leaves(forest: DataFrame) -> DataFrame:
     return forest.join(_parents(forest), Q, "left_anti").select(*Q)
 

@@ -7,6 +7,7 @@ mix them. All but the trade-up is declarative.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,17 +16,50 @@ from pyspark.sql import functions as F
 
 from ..errors import ValidationError
 from ..functions.counters import chars
-from ..functions.exprs import slice_uuid_py
 from ..grid import DEFAULT_GRID, Grid
 from ..sources.shared import materialise
 from . import forest as forests
 from .retrieval import closure_keys, fetch, tier_interleave
 from .slicing import KEY
-from .tradeup import Evidence, Holding, Piece, replay, trade_up
+from .tradeup import Evidence, Shelved, TradeUp, climber
 
 Q = ["query_id", *KEY]
 EXPANSIONS = ("fill", "retrieved_only", "off")
-STRATEGIES = ("greedy_upward", "dedupe_only")
+#: What a query is told whose budget is spent before anything was chosen.
+NOTHING_FITS = "the budget is too small for any slice; nothing was chosen"
+
+
+@dataclass(frozen=True)
+class Request:
+    """What a strategy is given: a batch of fused hits (written), their queries with all options, the slices to fetch from, and the
+    forest of the hits with its anomalies."""
+
+    fused: DataFrame
+    queries: DataFrame
+    slices: DataFrame | None
+    forest: DataFrame
+    anomalies: DataFrame
+    grid: Grid
+    counter: Callable[[Column], Column]
+    corpus: str
+
+
+#: A strategy makes (selection, trace) of a request.
+Strategy = Callable[[Request], tuple[DataFrame, DataFrame]]
+STRATEGIES: dict[str, Strategy] = {}
+
+
+def register_strategy(name: str, strategy: Strategy) -> None:
+    """Make a strategy known by name; one registered later wins."""
+    STRATEGIES[name] = strategy
+
+
+def strategy_of(strategy: str | Strategy) -> Strategy:
+    if callable(strategy):
+        return strategy
+    if strategy not in STRATEGIES:
+        raise ValidationError(f"strategy is one of {sorted(STRATEGIES)}")
+    return STRATEGIES[strategy]
 
 
 def with_options(queries: DataFrame, budget: int | None = None, expansion: str = "fill", max_slice_size: int | None = None, overhead: int = 0, trust_stored_counts: bool = True) -> DataFrame:
@@ -49,8 +83,9 @@ def tokens(counter: Callable[[Column], Column], trust: Column) -> Column:
 def dedup_classes(hits: DataFrame, forest: DataFrame, grid: Grid = DEFAULT_GRID) -> DataFrame:
     """One class a leaf: its key, eff_rank, evidence (the leaf and the hits above it), dropped (their keys).
 
-    hits have fused_rank, score, rank; of a coordinate that stands twice the last hit counts.
+    hits have fused_rank, score, rank; of a coordinate that was hit several times the last hit counts, in order of fused_rank.
     """
+    hits = forests.one_of_each(hits, "fused_rank", last=True)
     chain = forests.chains(forest, grid)
     leaf = forests.leaves(forest)
     own = leaf.select(*Q, F.col("size").alias("e_size"), F.col("codepoint_offset").alias("e_offset"), F.lit(0).alias("depth"))
@@ -127,53 +162,46 @@ def run_trade_up(packed: DataFrame, closure: DataFrame, queries: DataFrame, grid
         if not len(own):
             return pd.DataFrame({"query_id": [], "results": [], "trade_ups": [], "rejections": []}, dtype=object)
         first = own.iloc[0]
-        piece = lambda r: Piece(
-            (r.document_id, int(r.size_), int(r.codepoint_offset)), r.point_id, int(r.codepoint_length), int(r.document_codepoint_length),
-            r.own_marker, frozenset(r.descendant_markers), int(r.cost),
-        )
-        known: dict = {}
-        evidence: dict = {}
-        for r in others.rename(columns={"size": "size_"}).itertuples():
-            p = piece(r)
-            if p.ref not in known or r.found == "retrieved":
-                known[p.ref] = (p, r.found)
-            if r.found == "retrieved":
-                evidence[p.ref] = Evidence(p.ref, p.id, None if pd.isna(r.score) else float(r.score), None if pd.isna(r.rank) else int(r.rank), int(r.fused_rank))
-        holdings = []
-        for r in own.rename(columns={"size": "size_"}).sort_values(["eff_rank", "document_id", "codepoint_offset"]).itertuples():
-            p = piece(r)
-            own_evidence = {}
-            for e in r.evidence:
-                ref = (r.document_id, int(e["size"]), int(e["codepoint_offset"]))
-                own_evidence[ref] = Evidence(ref, e["id"], e["raw_score"], e["rank_in_size"], int(e["fused_rank"]))
-            holdings.append(Holding(p, own_evidence, int(r.eff_rank), p.ref[2]))
+
+        def shelved(r, hit: Evidence | None) -> Shelved:
+            ref = (r.document_id, int(r.size_), int(r.codepoint_offset))
+            return Shelved(ref, r.point_id, ref[2] + int(r.codepoint_length), int(r.document_codepoint_length), r.own_marker, frozenset(r.descendant_markers), int(r.cost), hit)
+
+        def speaks(r) -> Evidence:
+            return Evidence(
+                (r.document_id, int(r.size_), int(r.codepoint_offset)), r.point_id, None if pd.isna(r.score) else float(r.score),
+                None if pd.isna(r.rank) else int(r.rank), int(r.fused_rank),
+            )
+
+        only_hits = first.expansion == "retrieved_only"
+        # Where a slice was both retrieved and fetched the retrieved one stands.
+        by_found = others.rename(columns={"size": "size_"}).sort_values("found", kind="stable")
+        pieces = (shelved(r, speaks(r) if r.found == "retrieved" else None) for r in by_found.itertuples())
+        shelf = {p.ref: p for p in pieces if p.hit or not only_hits}
+        climbers = []
+        for no, r in enumerate(own.rename(columns={"size": "size_"}).sort_values(["eff_rank", "document_id", "codepoint_offset"]).itertuples()):
+            evidence = (Evidence((r.document_id, int(e["size"]), int(e["codepoint_offset"])), e["id"], e["raw_score"], e["rank_in_size"], int(e["fused_rank"])) for e in r.evidence)
+            climbers.append(climber(no, shelved(r, None), int(r.eff_rank), evidence, Grid(sizes)))
         trades: list = []
         refusals: list = []
         if not pd.isna(first.budget) and first.expansion != "off":
-            spare = int(first.budget) - sum(h.piece.cost for h in holdings)
-            only = first.expansion == "retrieved_only"
-
-            def find(ref):
-                p, found = known.get(ref, (None, "fetched"))
-                return (None, "fetched") if p is not None and only and found != "retrieved" else (p, found)
-
             most = None if pd.isna(first.max_slice_size) else int(first.max_slice_size)
-            _, trades, refusals = trade_up(holdings, spare, Grid(sizes), find, evidence.get, most)
+            done = TradeUp(climbers, shelf, int(first.budget) - sum(c.holds.cost for c in climbers), most).run()
+            trades = [t | {"from_ref": _ref(t["from_ref"]), "to_ref": _ref(t["to_ref"])} for t in done.trades]
+            refusals = [r | {"target": _ref(r["target"])} for r in done.refusals]
         results = [
             {
-                **_ref(h.piece.ref), "codepoint_length": h.piece.length, "point_id": h.piece.id, "cost": h.piece.cost, "provenance": h.provenance,
-                "effective_rank": h.rank, "action": "traded_up" if h.levels else "kept", "levels": h.levels,
-                "replaced_ids": sorted(h.replaced - {h.piece.id}),
+                **_ref(c.holds.ref), "codepoint_length": c.holds.stop - c.holds.ref[2], "point_id": c.holds.id, "cost": c.holds.cost,
+                "provenance": "retrieved" if c.from_hit else "traded_up", "effective_rank": c.rank, "action": "traded_up" if c.trades else "kept", "levels": c.trades,
+                "replaced_ids": sorted(c.shed - {c.holds.id}),
                 "evidence": [
                     {"size": e.ref[1], "codepoint_offset": e.ref[2], "id": e.id, "raw_score": e.score, "rank_in_size": e.rank_in_size, "fused_rank": e.fused_rank}
-                    for e in sorted(h.evidence.values(), key=lambda e: e.ref[1:])
+                    for e in sorted(c.evidence.values(), key=lambda e: e.ref[1:])
                 ],
             }
-            for h in holdings
-            if h.alive
+            for c in climbers
+            if c.taken_by is None
         ]
-        trades = [t | {"from_ref": _ref(t["from_ref"]), "to_ref": _ref(t["to_ref"])} for t in trades]
-        refusals = [r | {"target": _ref(r["target"])} for r in refusals]
         return pd.DataFrame({"query_id": [first.query_id], "results": [results], "trade_ups": [trades], "rejections": [refusals]})
 
     # Both sides may come from the same plan: one side's columns get identities of their own.
@@ -205,30 +233,33 @@ def finalize(results: DataFrame) -> DataFrame:
 
 def select(
     hits: DataFrame, queries: DataFrame, slices: DataFrame | None = None, *, grid: Grid = DEFAULT_GRID, counter: Callable[[Column], Column] = chars,
-    corpus: str = "default", strategy: str = "greedy_upward", fusion: Callable[[DataFrame], DataFrame] = tier_interleave,
+    corpus: str = "default", strategy: str | Strategy = "greedy_upward", fusion: Callable[[DataFrame], DataFrame] = tier_interleave,
 ) -> tuple[DataFrame, DataFrame]:
     """(selection, trace) for a batch of queries.
 
     hits: query_id, slice columns, score, rank. queries: query_id and options. slices: where larger slices
-    are fetched from; None means among the hits only.
+    are fetched from; None means among the hits only. strategy: a registered name, or a function of a Request. A coordinate that
+    was hit several times is one slice (the forest sees its first hit, the selection its last); a hit off the grid is an error.
     """
-    if strategy not in STRATEGIES:
-        raise ValidationError(f"strategy is one of {STRATEGIES}")
-    queries = with_options(queries)
-    if strategy == "dedupe_only":
-        queries = queries.withColumn("budget", F.lit(None).cast("int"))
-    opts = queries.select("query_id", "overhead", "trust_stored_counts", F.col("max_slice_size").alias("_max"), F.col("expansion").alias("_expansion"))
-    fused = materialise(fusion(hits), "fused")
-    facts = ["point_id", "codepoint_length", "document_codepoint_length", "own_marker", "descendant_markers"]
+    chosen = strategy_of(strategy)
+    fused = fusion(hits)
     if "token_count" not in fused.columns:
         fused = fused.withColumn("token_count", F.lit(None).cast("int"))
+    fused = materialise(fused, "fused")
+    forest, anomalies = forests.build_forest(fused, grid)
+    return chosen(Request(fused, with_options(queries), slices, materialise(forest, "forest"), anomalies, grid, counter, corpus))
+
+
+def greedy_upward(request: Request) -> tuple[DataFrame, DataFrame]:
+    """Keep the leaves, pack them first-fit, trade them up while the budget allows; without a budget keep the leaves only."""
+    fused, queries, slices, forest, grid = request.fused, request.queries, request.slices, request.forest, request.grid
+    opts = queries.select("query_id", "overhead", "trust_stored_counts", F.col("max_slice_size").alias("_max"), F.col("expansion").alias("_expansion"))
+    facts = ["point_id", "codepoint_length", "document_codepoint_length", "own_marker", "descendant_markers"]
 
     def costed(df: DataFrame) -> DataFrame:
-        return df.join(opts, "query_id").withColumn("cost", (tokens(counter, F.col("trust_stored_counts")) + F.col("overhead")).cast("long"))
+        return df.join(opts, "query_id").withColumn("cost", (tokens(request.counter, F.col("trust_stored_counts")) + F.col("overhead")).cast("long"))
 
-    own = costed(fused)
-    forest, anomalies = forests.build_forest(fused, grid)
-    forest = materialise(forest, "forest")
+    own = costed(forests.one_of_each(fused, "fused_rank", last=True))
     classes = dedup_classes(fused, forest, grid).join(own.select(*Q, *facts, "cost"), Q)
     tried = materialise(pack(classes, queries), "packed")
     retrieved = own.select(*Q, *facts, "cost", "score", "rank", "fused_rank", F.lit("retrieved").alias("found"))
@@ -237,11 +268,18 @@ def select(
         wanted = closure_keys(fused, grid)
         got = costed(fetch(wanted, slices if "token_count" in slices.columns else slices.withColumn("token_count", F.lit(None).cast("int"))))
         closure = retrieved.unionByName(got.select(*Q, *facts, "cost", F.lit("fetched").alias("found")), allowMissingColumns=True)
-    traded = materialise(run_trade_up(tried.where("packed"), closure, queries, grid, corpus), "traded")
+    traded = materialise(run_trade_up(tried.where("packed"), closure, queries, grid, request.corpus), "traded")
     flat = traded.select("query_id", F.explode("results").alias("r")).select("query_id", "r.*")
-    selection = finalize(flat)
-    trace = _trace(queries, fused, forest, anomalies, classes, tried, traded, grid)
-    return selection, trace
+    return finalize(flat), _trace(queries, fused, forest, request.anomalies, classes, tried, traded, grid)
+
+
+def dedupe_only(request: Request) -> tuple[DataFrame, DataFrame]:
+    """Keep the leaves, whatever the budget."""
+    return greedy_upward(replace(request, queries=request.queries.withColumn("budget", F.lit(None).cast("int")), slices=None))
+
+
+register_strategy("greedy_upward", greedy_upward)
+register_strategy("dedupe_only", dedupe_only)
 
 
 def _trace(queries, fused, forest, anomalies, classes, tried, traded, grid) -> DataFrame:
@@ -278,11 +316,11 @@ def _trace(queries, fused, forest, anomalies, classes, tried, traded, grid) -> D
         .withColumn("utilization", F.when(F.col("budget") > 0, F.col("tokens_used") / F.col("budget")))
         .withColumn("budget_exhausted", exhausted)
         .withColumn("results", F.coalesce(F.size("results"), F.lit(0)))
-        .withColumn("warnings", F.when(F.col("candidate_count") == 0, F.array(F.lit("no slice was found"))).otherwise(F.array().cast("array<string>")))
+        .withColumn("warnings", F.when(exhausted & (F.col("results") == 0), F.array(F.lit(NOTHING_FITS))).otherwise(F.array().cast("array<string>")))
     )
 
 
-def budget_fit(hits: DataFrame, *, budget: int | None, slices: DataFrame | None = None, counter: Callable[[Column], Column] = chars, strategy: str = "greedy_upward", grid: Grid = DEFAULT_GRID, corpus: str = "default", **options: object) -> tuple[DataFrame, DataFrame]:
+def budget_fit(hits: DataFrame, *, budget: int | None, slices: DataFrame | None = None, counter: Callable[[Column], Column] = chars, strategy: str | Strategy = "greedy_upward", grid: Grid = DEFAULT_GRID, corpus: str = "default", **options: object) -> tuple[DataFrame, DataFrame]:
     """Fuse, build the forest and select in one call, for hits that are there already."""
     queries = with_options(hits.select("query_id").distinct(), budget=budget, **options)
     return select(hits, queries, slices, grid=grid, counter=counter, corpus=corpus, strategy=strategy)
@@ -302,15 +340,20 @@ def unbounded_closed_form(leaf_slices: DataFrame, grid: Grid = DEFAULT_GRID) ->
 
 
 def replay_ids(trace: DataFrame) -> DataFrame:
-    """query_id, ids: the final ids that each trace leads to, sorted."""
-
-    @F.pandas_udf("array<string>")
-    def run(selected: pd.Series, trades: pd.Series) -> pd.Series:
-        return pd.Series([sorted(replay(list(s) if s is not None else [], [dict(t) for t in (x if x is not None else [])])) for s, x in zip(selected, trades, strict=True)])
+    """query_id, ids: the final ids that each trace leads to, sorted; a trace that contradicts itself is an error.
 
-    flat = F.transform(F.coalesce("trade_ups", F.array()), lambda t: F.struct(t["from_id"].alias("from_id"), t["to_id"].alias("to_id"), t["subsumed_ids"].alias("subsumed_ids")))
-    return trace.select("query_id", run(F.col("selected_ids"), flat).alias("ids"))
-
-
-def point_id(corpus: str, ref: tuple[str, int, int]) -> str:
-    return slice_uuid_py(corpus, *ref)
+    Each trace's comings and goings are folded in order, without leaving the row.
+    """
+    event = lambda i, held: F.struct(i.alias("id"), F.lit(held).alias("held"))
+    gone = lambda t: F.concat(F.array(t["from_id"]), t["subsumed_ids"])
+    none = F.array().cast("array<struct<id:string,held:boolean>>")
+    packed = F.coalesce(F.transform("selected_ids", lambda i: event(i, True)), none)
+    traded = F.coalesce(F.flatten(F.transform("trade_ups", lambda t: F.concat(F.transform(gone(t), lambda i: event(i, False)), F.array(event(t["to_id"], True))))), none)
+
+    def step(live: Column, e: Column) -> Column:
+        wrong = F.raise_error(F.concat(e["id"], F.lit(" is held twice, or goes without being held"))).cast("array<string>")
+        after = F.when(e["held"], F.concat(live, F.array(e["id"]))).otherwise(F.array_remove(live, e["id"]))
+        return F.when(F.array_contains(live, e["id"]) == e["held"], wrong).otherwise(after)
+
+    ids = F.aggregate(F.concat(packed, traded), F.array().cast("array<string>"), step)
+    return trace.select("query_id", F.array_sort(ids).alias("ids"))

@@ -58,10 +58,20 @@ def test_participation(spark):
 
 
 def test_duplicates_and_alignment(spark):
-    h = hits(spark, D, [("d", 64, 0), ("d", 64, 0)])
-    assert [r.seq for r in forest.first_of_each(h).collect()] == [0]
+    h = hits(spark, D, [("d", 64, 0), ("d", 64, 0), ("d", 128, 0)])
+    assert sorted(r.seq for r in forest.one_of_each(h, "seq").collect()) == [0, 2]
+    assert sorted(r.seq for r in forest.one_of_each(h, "seq", last=True).collect()) == [1, 2]
     with pytest.raises(ValidationError):
-        forest.check_aligned(h.withColumn("codepoint_offset", F.lit(7)))
+        forest.build_forest(h.withColumn("codepoint_offset", F.lit(7)))
+    f, odd = forest.build_forest(h)
+    m = forest.metrics(f, odd).first()
+    assert (m.hit_count, m.edge_count, m.max_depth) == (2, 1, 2)
+    # The first hit of a coordinate is what the forest sees: a stale one that came later changes nothing.
+    late = h.withColumn("descendant_markers", F.when((F.col("size") == 128) & (F.col("seq") > 5), F.array().cast("array<string>")).otherwise(F.col("descendant_markers")))
+    stale = h.where("size = 128").withColumn("seq", F.lit(9)).withColumn("descendant_markers", F.array().cast("array<string>"))
+    assert pairs(forest.edges(forest.build_forest(late.unionByName(stale))[0])) == [("d", 64, 0, 128, 0)]
+    asked = spark.createDataFrame([(1, "d", 64, 0), (1, "d", 128, 0), (1, "d", 64, 64)], "query_id int, document_id string, size int, codepoint_offset int")
+    assert sorted((r.size, r.parent_size) for r in forest.minimal_parent(f, asked).collect()) == [(64, 128), (128, None)]
 
 
 def scored(spark, rows):
@@ -88,10 +98,26 @@ def test_sizes_budget_fanout(spark):
     assert retrieval.resolve_sizes(DEFAULT_GRID, [7])[0] == DEFAULT_GRID.sizes
     assert retrieval.cap_budget(None, 5) == (None, []) and retrieval.cap_budget(9, 5)[0] == 5 and retrieval.cap_budget(4, 5) == (4, [])
     h = scored(spark, [(64, 0, 0.5)])
-    rows = {r["size"]: (r["status"], r["hits"]) for r in retrieval.fan_out((64, 128), h, {64}).collect()}
-    assert rows == {64: ("ok", 1), 128: ("error", 0)}
+    rows = {r["size"]: (r["status"], r["hits"], r["error"]) for r in retrieval.fan_out(h.select("query_id"), (64, 128), h, {128: "gone"}).collect()}
+    assert rows == {64: ("ok", 1, None), 128: ("error", 0, "gone")}
+    with pytest.raises(StoreUnavailable):
+        retrieval.fan_out(h.select("query_id"), (64,), h, {64: "gone"})
+
+
+def test_sizes_that_fail_or_take_too_long(spark):
+    points = spark.createDataFrame([(s, "d", i, f"{s}-{i}", [float(i), 1.0]) for s in (8, 16) for i in range(9)], "size int, document_id string, codepoint_offset int, point_id string, vector array<double>")
+    q = spark.createDataFrame([(1, [1.0, 2.0])], "query_id int, vector array<double>")
+    bad = points.withColumn("vector", F.when(F.col("size") == 16, F.raise_error(F.lit("bad block"))).otherwise(F.col("vector")))
+    found, errors = retrieval.search_sizes(q, bad, (8, 16), 3)
+    assert found.count() == 3 and set(errors) == {16}
     with pytest.raises(StoreUnavailable):
-        retrieval.fan_out((64,), h, set())
+        retrieval.search_sizes(q, bad, (16,), 3)
+    found, errors = retrieval.search_sizes(q, points, (8, 16), 3, timeout=60)
+    assert found.count() == 6 and not errors
+    slow = F.udf(lambda v: __import__("time").sleep(20) or v, "array<double>")
+    late = points.where("size = 8").unionByName(points.where("size = 16").limit(1).withColumn("vector", slow("vector")))
+    found, errors = retrieval.search_sizes(q, late, (8, 16), 3, timeout=12)
+    assert found.count() == 3 and "no answer" in errors[16]
 
 
 def test_search_against_loop(spark):
@@ -118,5 +144,7 @@ def test_search_goes_on_beyond_a_block_of_queries(spark, monkeypatch):
     queries = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(7)], "query_id int, vector array<double>")
     want = sorted(map(tuple, retrieval.search(queries, points, 3).collect()))
     monkeypatch.setattr(retrieval, "MOST_QUERIES", 3)
+    monkeypatch.setattr(retrieval, "POINT_ROWS", 5)
+    monkeypatch.setattr(retrieval, "QUERY_ROWS", 2)
     got = retrieval.search(queries, points, 3)
     assert sorted(map(tuple, got.collect())) == want and len(want) == 21

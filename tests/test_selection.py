@@ -141,6 +141,42 @@ def test_repeated_text_is_not_absorbed_by_marker(spark):
     assert len(sel) == 8 and {r.codepoint_offset + r.codepoint_length for r in sel} == {128, 320, 448, 512, 704, 832, 896, 960}
 
 
+def test_repeated_hits_are_one_slice(d):
+    once, _ = d.fit([(A, 0.9), (("d", 64, 512), 0.8)], 200, expansion="off")
+    h = d.hits([(A, 0.9), (("d", 64, 512), 0.8)])
+    again = h.where("codepoint_offset = 0").withColumn("score", F.lit(0.1))
+    sel, trace = selection.budget_fit(h.unionByName(again), budget=200, expansion="off")
+    got = sel.orderBy("position").collect()
+    t = trace.first()
+    assert sorted(keys(got)) == sorted(keys(once)) and t.tokens_used == 128 and len(t.selected_ids) == 2 and t.candidate_count == 3 and t.hit_count == 2
+    # The last hit of a coordinate is what speaks for it.
+    assert [e["raw_score"] for r in got if r.codepoint_offset == 0 for e in r.evidence] == [0.1]
+    assert len(selection.replay_ids(trace).first().ids) == 2
+    with pytest.raises(ValidationError):
+        selection.budget_fit(h.withColumn("codepoint_offset", F.col("codepoint_offset") + 1), budget=200)
+
+
+def test_a_strategy_of_ones_own(d):
+    def nothing(request):
+        return request.fused.limit(0), request.queries
+
+    selection.register_strategy("nothing", nothing)
+    h = d.hits([(A, 0.9)])
+    for s in ("nothing", nothing):
+        chosen, queries = selection.budget_fit(h, budget=5, strategy=s)
+        assert chosen.count() == 0 and queries.first().budget == 5
+    selection.STRATEGIES.pop("nothing")
+
+
+def test_a_contradictory_trace_is_refused(spark):
+    shape = "query_id int, selected_ids array<string>, trade_ups array<struct<from_id:string,to_id:string,subsumed_ids:array<string>>>"
+    good = spark.createDataFrame([(1, ["a", "b", "c"], [("a", "p", ["b"]), ("p", "q", [])]), (2, [], []), (3, None, None)], shape)
+    assert {r.query_id: r.ids for r in selection.replay_ids(good).collect()} == {1: ["c", "q"], 2: [], 3: []}
+    for bad in ((["a", "a"], []), (["a"], [("b", "c", [])]), (["a", "b"], [("a", "b", [])])):
+        with pytest.raises(Exception, match="held twice"):
+            selection.replay_ids(spark.createDataFrame([(1, *bad)], shape)).collect()
+
+
 def test_options_are_checked(d):
     with pytest.raises(ValidationError):
         d.fit([(A, 0.9)], 10, expansion="sideways")
