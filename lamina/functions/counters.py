@@ -6,7 +6,7 @@ import threading
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import UnknownTokenizer
@@ -29,7 +29,7 @@ def whitespace(text: Column) -> Column:
 def tiktoken_counter(encoding: str) -> Counter:
     """Counts of a tiktoken encoding; the vocabulary is loaded once a worker, and checked here first.
 
-    Text that holds a special token's string is counted as ordinary text.
+    Text that holds a special token's string is counted as ordinary text: one such document does not fail its batch.
     """
     import tiktoken
 
@@ -44,7 +44,8 @@ def tiktoken_counter(encoding: str) -> Counter:
 
 
 def bpe_counter(ranks_path: str, pattern: str) -> Counter:
-    """Counts of a byte-level vocabulary file of `base64 rank` lines that every executor has."""
+    """Counts of a byte-level vocabulary file of `base64 rank` lines that every executor has; it is opened here first."""
+    _bpe(ranks_path, pattern)
 
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
@@ -100,6 +101,15 @@ def get(name: str) -> Counter:
         return made
 
 
-DEFAULT = "chars"
+def proven(spark: SparkSession, name: str) -> Counter:
+    """The counter, once it has counted a text on an executor."""
+    counter = get(name)
+    try:
+        spark.range(1).select(counter(F.lit(""))).collect()
+    except Exception as e:
+        raise UnknownTokenizer(f"counter {name!r} does not count: {str(e).splitlines()[0]}") from e
+    return counter
+
+
 register("chars", lambda: chars)
 register("whitespace", lambda: whitespace)

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-import re
 import uuid
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..errors import ValidationError
-
 # Fixed value: the namespace of slice ids.
 NAMESPACE = uuid.UUID("fabb402a-1e0f-55a8-83cd-2d0a124a3fca")
 
@@ -70,12 +69,6 @@ def unpack_markers(packed: Column) -> Column:
     return F.when(raw.isNull() | (n % 32 != 0), F.raise_error(F.lit("not packed markers"))).otherwise(parts)
 
 
-def check_marker_py(m: str) -> str:
-    if not re.fullmatch("[0-9a-f]{64}", m):
-        raise ValidationError(f"not a marker: {m!r}")
-    return m
-
-
 def dot(a: Column, b: Column) -> Column:
     """Sum of products from left to right."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -111,3 +104,35 @@ def fake_vector(text: Column, dimension: int) -> Column:
         return bound(norm, lambda m: F.transform(v, lambda x: F.when(m == 0, x).otherwise(x / m)))
 
     return bound(raw, at_length_one)
+
+
+def fake_vectors(texts: pa.Array, dimension: int) -> pa.Array:
+    """fake_vector() of a batch of texts: the same numbers, bit by bit; null for a null text."""
+    blocks = (dimension + 7) // 8
+    tails = [i.to_bytes(4, "big") for i in range(blocks)]
+    digests = bytearray()
+    known = [t for t in texts.to_pylist() if t is not None]
+    for t in known:
+        seed = hashlib.sha256(t.encode()).digest()
+        for tail in tails:
+            digests += hashlib.sha256(seed + tail).digest()
+    raw = np.frombuffer(bytes(digests), ">u4").reshape(len(known), 8 * blocks)[:, :dimension] / 2147483648.0 - 1.0
+    total = np.zeros(len(known))
+    for column in np.ascontiguousarray(raw.T):
+        total += column * column
+    norm = np.sqrt(total)[:, None]
+    values = np.where(norm == 0, raw, raw / np.where(norm == 0, 1.0, norm))
+    held = np.array([t is not None for t in texts.to_pylist()], dtype=bool) if texts.null_count else np.ones(len(texts), dtype=bool)
+    offsets = np.concatenate([[0], np.cumsum(np.where(held, dimension, 0))]).astype(np.int32)
+    mask = pa.array(~held) if texts.null_count else None
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.ravel()), mask=mask)
+
+
+def fake_vector_batches(text: Column, dimension: int) -> Column:
+    """fake_vector() by Arrow batches: faster than the expression where very many texts are embedded."""
+
+    @F.arrow_udf("array<double>")
+    def vectors(texts: pa.Array) -> pa.Array:
+        return fake_vectors(texts, dimension)
+
+    return vectors(text)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lamina.functions import counters, embedders, exprs
-from lamina.errors import EmbedderUnavailable, UnknownTokenizer
+from lamina.errors import EmbedderUnavailable, UnknownTokenizer, ValidationError
 
 
 def one(spark, *cols):
@@ -107,4 +107,34 @@ def test_http_embedders():
     with pytest.raises(EmbedderUnavailable):
         p.embed(["a"])
     assert p.health()["ok"] is False or p.health()["dimension"] == 1
-    assert embedders.Registry().providers() == ["fake", "ollama", "openai"]
+    registry = embedders.Registry()
+    assert registry.providers() == ["fake", "ollama", "openai"]
+    registry["own"] = lambda **settings: embedders.FakeEmbedder(settings["dim"])
+    assert registry.create("own", dim=5).dimension() == 5
+    with pytest.raises(ValidationError):
+        registry.create("nope")
+    plugged = embedders.Registry("lamina.no_such_group")
+    assert plugged.plugins() == {} and plugged.providers() == ["fake", "ollama", "openai"]
+    bad = embedders.OpenAICompatibleEmbedder("http://h", "m", post=lambda *a: (500, {}))
+    assert not bad.health()["ok"] and bad.health()["dimension"] is None
+    with pytest.raises(EmbedderUnavailable):
+        bad.dimension()
+
+
+def test_batches_at_once_keep_their_order():
+    import threading
+    import time
+
+    under_way, most, lock = 0, 0, threading.Lock()
+
+    def call(batch):
+        nonlocal under_way, most
+        with lock:
+            under_way += 1
+            most = max(most, under_way)
+        time.sleep(0.02 * (3 - ord(batch[0]) % 3))
+        with lock:
+            under_way -= 1
+        return [[ord(x)] for x in batch]
+
+    assert embedders.in_batches("abcdefghij", 2, call, 3) == [[ord(x)] for x in "abcdefghij"] and 1 < most <= 3
