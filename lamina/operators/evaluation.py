@@ -9,12 +9,26 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import write_text
+
+
+#: What the reports of an evaluation's aggregate hold.
+REPORTS = {
+    "forest": ("queries", "mean_participation", "min_participation", "mean_depth", "depth_distribution", "mean_edges"),
+    "budget": ("queries", "budget", "mean_results", "mean_trade_ups", "mean_utilization", "partial_queries"),
+}
+
 
 def load_queries(spark: SparkSession, path: str) -> DataFrame:
-    """(query) from lines of JSON with `query` or `text`, or of plain text; blank lines are skipped."""
-    line = F.trim("value")
-    parsed = F.coalesce(F.get_json_object(line, "$.query"), F.get_json_object(line, "$.text"))
-    return spark.read.text(path).where(line != "").select(F.when(F.startswith(line, F.lit("{")), parsed).otherwise(line).alias("query"))
+    """(query) from lines of JSON with `query` or, where that is missing or empty, `text`, or of plain text. White space around a
+    line is no part of it; blank lines and objects with neither are skipped; a line that starts an object must hold one."""
+    line = F.regexp_replace("value", r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+    field = lambda name: F.nullif(F.get_json_object("line", f"$.{name}"), F.lit(""))
+    whole = F.get_json_object("line", "$").isNotNull()
+    broken = F.raise_error(F.concat(F.lit("not a JSON object: "), F.col("line"))).cast("string")
+    parsed = F.when(whole, F.coalesce(field("query"), field("text"))).otherwise(broken)
+    lines = spark.read.text(path).select(line.alias("line")).where("line <> ''")
+    return lines.select(F.when(F.startswith("line", F.lit("{")), parsed).otherwise(F.col("line")).alias("query")).where("query is not null")
 
 
 def evaluate(trace: DataFrame) -> DataFrame:
@@ -72,7 +86,7 @@ def load_baseline(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(k, text(v)) for k, v in sorted(one.items())], "metric string, value string")
 
 
-def write_outputs(rows: DataFrame, summary: DataFrame) -> tuple[str, str]:
+def outputs(rows: DataFrame, summary: DataFrame) -> tuple[str, str]:
     """(CSV of the per-query rows, sorted JSON of the summary), as text. A query set is a report's size."""
     out = io.StringIO()
     writer = csv.writer(out, lineterminator="\n")
@@ -80,4 +94,10 @@ def write_outputs(rows: DataFrame, summary: DataFrame) -> tuple[str, str]:
     for r in rows.orderBy("query_id").toLocalIterator():
         writer.writerow(["" if v is None else v for v in r])
     one = summary.first().asDict(recursive=True)
-    return out.getvalue(), json.dumps(one, sort_keys=True, indent=2)
+    return out.getvalue(), json.dumps(one, sort_keys=True, indent=2) + "\n"
+
+
+def write_outputs(rows: DataFrame, summary: DataFrame, folder: str) -> None:
+    """`per_query.csv` and `summary.json` in the folder."""
+    for name, text in zip(("per_query.csv", "summary.json"), outputs(rows, summary), strict=True):
+        write_text(rows.sparkSession, f"{folder.rstrip('/')}/{name}", text)

@@ -47,15 +47,26 @@ def slice_documents(
     counter: Counter | None = None,
     with_descendants: bool = True,
     with_ids: bool = True,
+    with_bytes: bool = True,
 ) -> DataFrame:
     """All slices of (document_id, text) at every size; an empty text has none.
 
     Each size is tiled once and each tile hashed once; a slice's descendants are runs of the smaller
     sizes' marker arrays, and its byte offset is a look-up in the running byte lengths of the
-    smallest size. All of this is in the document's own row, which is exploded last.
+    smallest size. All of this is in the document's own row, which is exploded last. Without descendants and byte offsets
+    nothing ties slices together: tiles are exploded at once, and what no one asks for of them is never computed.
     """
     sizes = grid.sizes
     d = checked(documents).where(F.length("text") > 0).withColumn("n", F.length("text"))
+    if not with_descendants and not with_bytes:
+        each = d.select("document_id", "n", "text", F.explode(grid.array()).alias("size"))
+        cut = F.regexp_extract_all("text", F.concat(F.lit("(?s).{1,"), F.col("size"), F.lit("}")), F.lit(0))
+        tile = each.select("document_id", "n", "size", F.posexplode(cut).alias("i", "text"))
+        plain = tile.select(
+            F.lit(corpus).alias("corpus"), "document_id", "size", (F.col("i") * F.col("size")).alias("codepoint_offset"), F.length("text").alias("codepoint_length"),
+            F.octet_length("text").alias("byte_length"), F.col("n").alias("document_codepoint_length"), "text", marker(F.col("text")).alias("own_marker"),
+        )
+        return finished(plain, corpus, counter, with_ids)
     d = d.withColumns({f"t{s}": tiles(F.col("text"), s) for s in sizes})
     d = d.withColumns({f"m{s}": F.transform(f"t{s}", marker) for s in sizes})
     smallest = sizes[0]
@@ -93,17 +104,41 @@ def slice_documents(
         F.lit(corpus).alias("corpus"), "document_id", *(F.col(f"s.{c}") for c in cols), "document_codepoint_length",
         "s.text", "s.own_marker", *(["s.descendant_markers"] if with_descendants else []),
     )
-    out = out.withColumn("token_count", counter(F.col("text")) if counter else F.lit(None).cast("int"))
-    if with_ids:
-        out = out.withColumn("point_id", slice_uuid(F.lit(corpus), F.col("document_id"), F.col("size"), F.col("codepoint_offset")))
-    return out
+    return finished(out, corpus, counter, with_ids)
+
+
+def finished(slices: DataFrame, corpus: str, counter: Counter | None, with_ids: bool) -> DataFrame:
+    """Slices with their token counts and, if asked for, their ids."""
+    out = slices.withColumn("token_count", counter(F.col("text")) if counter else F.lit(None).cast("int"))
+    return out.withColumn("point_id", slice_uuid(F.lit(corpus), F.col("document_id"), F.col("size"), F.col("codepoint_offset"))) if with_ids else out
+
+
+def slices_at(documents: DataFrame, keys: DataFrame, grid: Grid = DEFAULT_GRID, *, corpus: str = "default", counter: Counter | None = None) -> DataFrame:
+    """The slices of (document_id, text) at the keys' places, each once, as slice_documents() gives them; places behind a text's end
+    are left out. Only what is asked for is cut and hashed, and only documents that are asked for are read on."""
+    asked = keys.select(*KEY).where(F.col("size").isin(*grid.sizes) & (F.col("codepoint_offset") % F.col("size") == 0)).distinct()
+    places = asked.groupBy("document_id").agg(F.collect_list(F.struct("size", "codepoint_offset")).alias("places"))
+    d = checked(documents).join(places, "document_id").withColumn("n", F.length("text"))
+    at = d.select("document_id", F.col("text").alias("whole"), "n", F.explode("places").alias("p")).where("p.codepoint_offset < n")
+    size, offset = F.col("p.size"), F.col("p.codepoint_offset")
+    cut = at.withColumn("text", F.substring("whole", offset + 1, size))
+    below = [F.when(size > s, F.transform(tiles(F.col("text"), s), marker)).otherwise(F.array().cast("array<string>")) for s in grid.sizes[:-1]]
+    return cut.select(
+        F.lit(corpus).alias("corpus"), "document_id", size.alias("size"), offset.alias("codepoint_offset"), F.length("text").alias("codepoint_length"),
+        F.octet_length(F.substring("whole", F.lit(1), offset)).alias("byte_offset"), F.octet_length("text").alias("byte_length"), F.col("n").alias("document_codepoint_length"),
+        "text", marker(F.col("text")).alias("own_marker"), (F.concat(*below) if below else F.array().cast("array<string>")).alias("descendant_markers"),
+        (counter(F.col("text")) if counter else F.lit(None).cast("int")).alias("token_count"),
+        slice_uuid(F.lit(corpus), F.col("document_id"), size, offset).alias("point_id"),
+    )
 
 
 def of_size(slices: DataFrame, size: int) -> DataFrame:
+    """One size's slices, in order of document and place."""
     return slices.where(F.col("size") == size).orderBy("document_id", "codepoint_offset")
 
 
 def slice_at(slices: DataFrame, size: int, offset: int) -> DataFrame:
+    """Each document's slice at a place, where it has one."""
     return slices.where((F.col("size") == size) & (F.col("codepoint_offset") == offset))
 
 

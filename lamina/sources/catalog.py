@@ -1,14 +1,16 @@
-"""The store: corpora, documents and slices as Parquet generations behind a manifest.
+"""The store: corpora, documents and slices as layers of Parquet files behind a manifest.
 
-A corpus' rows are dealt over a fixed number of buckets by document. A change writes new files for the
-buckets it touches and then a new manifest that names them; readers of the old manifest keep what they
-saw. A manifest is created under its own number and never overwritten, so of two writers that start
-from the same one the second fails. Only the manifest passes through the driver.
+A change writes one layer: its new rows, and the keys of rows of earlier layers that are gone with it. So a change costs what it
+holds, however large the corpus is. Readers see the layers that one manifest names, a row being there unless a later
+layer lists its key; slices lie in a folder for each size. Layers of changes are merged when there are many, and into the base once they are a fair part of
+it. A manifest is written under a name of its own, then renamed to its number, which must be free: readers see it whole or not
+at all, and of two writers that start from the same one the second fails. Only manifests pass through the driver.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass
@@ -20,8 +22,13 @@ from ..errors import CorpusExists, CorpusNotFound, DocumentNotFound, EmbedderMis
 from ..grid import Grid
 from ..operators.retrieval import search
 from ..operators.slicing import KEY
+from .shared import file_system, hadoop_path, read_text, remove, write_text
 
-BUCKETS = 64
+#: Layers of a corpus before those above the base are merged; from this part of the base's rows on they are merged into it.
+MOST_LAYERS, FAIR_PART = 16, 0.25
+#: Keys of gone rows that are sent to the scan at most; more of them go through a shuffle.
+BROADCAST_KEYS = 1_000_000
+METRIC = "cosine"
 SLICES = (
     "corpus string, document_id string, size int, codepoint_offset int, codepoint_length int, byte_offset int, byte_length int, "
     "document_codepoint_length int, text string, own_marker string, descendant_markers array<string>, token_count int, "
@@ -32,6 +39,8 @@ DOCUMENTS = (
     "metadata array<struct<key:string,value:string>>"
 )
 COLUMNS = {"slices": SLICES, "documents": DOCUMENTS}
+#: What tells rows of a table apart.
+OWN_KEY = {"slices": ["document_id", "point_id"], "documents": ["document_id"]}
 
 
 @dataclass(frozen=True)
@@ -43,6 +52,7 @@ class CorpusConfig:
     embedder_fingerprint: str
     dimension: int
     token_counter_id: str
+    metric: str = METRIC
 
     @property
     def grid(self) -> Grid:
@@ -50,41 +60,42 @@ class CorpusConfig:
 
 
 class Catalog:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
 
-    # Files of the driver's own: manifests.
+    # Manifests.
 
-    def _path(self, *parts: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
+    def _at(self, *parts: str) -> str:
+        return "/".join([self.root, *parts])
 
-    def _fs(self):
-        p = self._path()
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _listed(self, *parts: str) -> list[tuple[str, float]]:
+        """(name, time of change in seconds) of what a folder holds."""
+        fs, at = file_system(self.spark, self.root), hadoop_path(self.spark, self._at(*parts))
+        return [(s.getPath().getName(), s.getModificationTime() / 1000) for s in fs.listStatus(at)] if fs.exists(at) else []
 
     def _versions(self) -> list[int]:
-        fs, at = self._fs(), self._path("_manifest")
-        if not fs.exists(at):
+        if not file_system(self.spark, self.root).exists(hadoop_path(self.spark, self._at("_manifest"))):
             raise StoreUnavailable(f"{self.root} is not set up")
-        return sorted(int(s.getPath().getName().split(".")[0]) for s in fs.listStatus(at) if s.getPath().getName().endswith(".json"))
+        return sorted(int(n.split(".")[0]) for n, _ in self._listed("_manifest") if n.endswith(".json") and not n.startswith("_"))
+
+    def _read(self, version: int) -> dict:
+        return json.loads(read_text(self.spark, self._at("_manifest", f"{version:010d}.json")))
 
     def _manifest(self) -> tuple[int, dict]:
         version = self._versions()[-1]
-        stream = self._fs().open(self._path("_manifest", f"{version:010d}.json"))
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        return version, json.loads(text)
+        return version, self._read(version)
 
     def _flip(self, version: int, manifest: dict) -> None:
-        at = self._path("_manifest", f"{version + 1:010d}.json")
+        draft, final = self._at("_manifest", f"_{uuid.uuid4().hex}.json"), self._at("_manifest", f"{version + 1:010d}.json")
+        write_text(self.spark, draft, json.dumps(manifest, sort_keys=True))
+        jvm, gateway = self.spark._jvm, self.spark.sparkContext._gateway
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(hadoop_path(self.spark, final).toUri(), self.spark._jsc.hadoopConfiguration())
+        free = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)  # no overwriting
         try:
-            out = self._fs().create(at, False)
+            files.rename(hadoop_path(self.spark, draft), hadoop_path(self.spark, final), free)
         except Exception as e:
+            remove(self.spark, draft)
             raise StoreUnavailable("another writer was first; try again") from e
-        out.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
-        out.close()
 
     # The interface.
 
@@ -95,8 +106,7 @@ class Catalog:
             return False
 
     def bootstrap(self) -> None:
-        fs = self._fs()
-        fs.mkdirs(self._path("_manifest"))
+        file_system(self.spark, self.root).mkdirs(hadoop_path(self.spark, self._at("_manifest")))
         if not self._versions():
             self._flip(-1, {"corpora": {}})
 
@@ -110,14 +120,14 @@ class Catalog:
         version, manifest = self._manifest()
         if config.name in manifest["corpora"]:
             raise CorpusExists(config.name)
-        manifest["corpora"][config.name] = {"config": asdict(config), "slices": {}, "documents": {}}
+        manifest["corpora"][config.name] = {"config": asdict(config), "layers": []}
         self._flip(version, manifest)
 
     def drop_corpus(self, name: str) -> None:
         version, manifest, _ = self._corpus(name)
         del manifest["corpora"][name]
         self._flip(version, manifest)
-        self._fs().delete(self._path("data", name.encode().hex()), True)
+        remove(self.spark, self._at("data", name.encode().hex()))
 
     def get_corpus_meta(self, name: str) -> CorpusConfig:
         c = self._corpus(name)[2]["config"]
@@ -128,24 +138,53 @@ class Catalog:
 
     def verify_corpus(self, name: str) -> list[str]:
         """Reasons why the corpus is degraded; none if it is healthy."""
-        config, slices = self.get_corpus_meta(name), self.slices(name)
-        fs = self._fs()
-        corpus = self._corpus(name)[2]
-        reasons = [f"{table} files missing for bucket {b}" for table in COLUMNS for b, p in sorted(corpus[table].items()) if not fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p))]
-        if reasons:
+        config, corpus = self.get_corpus_meta(name), self._corpus(name)[2]
+        fs = file_system(self.spark, self.root)
+        layers = corpus["layers"]
+        reasons = [f"files of {table} are missing: {at}" for layer in layers for table in COLUMNS for at in layer[table].values() if not fs.exists(hadoop_path(self.spark, at))]
+        if config.metric != METRIC:
+            reasons.append(f"the corpus is set up for the metric {config.metric}, and searched by {METRIC}")
+        for n, layer in enumerate(layers):
+            if layer["grid"] not in (None, config.grid.fingerprint()):
+                reasons.append(f"layer {n} was sliced on another grid")
+        if any("missing" in r for r in reasons):
             return reasons
-        odd = slices.groupBy("size").agg(F.count_if(F.size("vector") != config.dimension).alias("n"), F.count("*").alias("all")).collect()
+        odd = self.slices(name).groupBy("size").agg(F.count_if(F.size("vector") != config.dimension).alias("n"), F.count("*").alias("all")).collect()
         reasons += [f"size {r['size']}: {r['n']} vectors are not of dimension {config.dimension}" for r in sorted(odd) if r["n"]]
         reasons += [f"size {r['size']} is not in the grid" for r in sorted(odd) if r["size"] not in config.sizes]
         present = {r["size"] for r in odd}
         documents = self.documents(name).where("slice_count > 0").limit(1).count()
         return reasons + [f"size {s}: no slices" for s in config.sizes if documents and s not in present]
 
-    def _table(self, name: str, table: str) -> DataFrame:
-        paths = sorted(self._corpus(name)[2][table].values())
-        if not paths:
+    def _rows(self, layer: dict, table: str, n: int) -> DataFrame:
+        if "rows" not in layer[table]:
+            return self.spark.createDataFrame([], COLUMNS[table]).withColumn("_layer", F.lit(n))
+        rows = self.spark.read.schema(COLUMNS[table]).parquet(layer[table]["rows"])
+        return rows.select(*self.spark.createDataFrame([], COLUMNS[table]).columns, F.lit(n).alias("_layer"))
+
+    def _merged(self, layers: list[dict], table: str) -> DataFrame:
+        """The rows of layers, without those whose keys a later one of them lists as gone."""
+        out = None
+        for n, layer in enumerate(layers):
+            if out is None or "rows" in layer[table]:
+                rows = self._rows(layer, table, n)
+                out = rows if out is None else out.unionByName(rows)
+        if out is None:
             return self.spark.createDataFrame([], COLUMNS[table])
-        return self.spark.read.schema(COLUMNS[table]).parquet(*paths)
+        for key in (["document_id"], ["document_id", "point_id"]):
+            later = [(n, layer) for n, layer in enumerate(layers) if n and layer[table].get("gone") and layer["gone_key"][table] == key]
+            if later:
+                gone = None
+                for n, layer in later:
+                    keys = self.spark.read.parquet(layer[table]["gone"]).select(*key, F.lit(n).alias("_gone"))
+                    gone = keys if gone is None else gone.unionByName(keys)
+                last = gone.groupBy(*key).agg(F.max("_gone").alias("_gone"))
+                few = sum(layer["gone_count"][table] for _, layer in later) <= BROADCAST_KEYS
+                out = out.join(F.broadcast(last) if few else last, key, "left").where(F.col("_gone").isNull() | (F.col("_layer") >= F.col("_gone"))).drop("_gone")
+        return out.drop("_layer").select(*self.spark.createDataFrame([], COLUMNS[table]).columns)
+
+    def _table(self, name: str, table: str) -> DataFrame:
+        return self._merged(self._corpus(name)[2]["layers"], table)
 
     def slices(self, name: str) -> DataFrame:
         return self._table(name, "slices")
@@ -153,36 +192,98 @@ class Catalog:
     def documents(self, name: str) -> DataFrame:
         return self._table(name, "documents")
 
-    def _bucket(self):
-        return F.pmod(F.xxhash64("document_id"), F.lit(self.buckets)).cast("int")
+    def _write_rows(self, rows: DataFrame, table: str, at: str) -> DataFrame:
+        """Rows as files, in the order that look-ups go by; slices in a folder for each size. No row leaves its task."""
+        if table == "slices":
+            rows.sortWithinPartitions("size", "document_id", "codepoint_offset").write.partitionBy("size").parquet(at)
+        else:
+            rows.sortWithinPartitions("document_id").write.parquet(at)
+        return self.spark.read.schema(COLUMNS[table]).parquet(at)
+
+    def _add(self, name: str, changes: dict[str, tuple[DataFrame | None, DataFrame, list[str]]], grid: str | None = None, check: bool = False) -> None:
+        """One layer of changes: for each table the rows that come (or None), those that go, and the columns that name the latter.
 
-    def _rewrite(self, name: str, changes: dict[str, tuple[DataFrame | None, DataFrame, list[str]]]) -> None:
-        """For each table (added rows or None, keys that go, key columns): new files for the buckets of either."""
+        Rows are computed once, as they are written; what was written is checked before a manifest names it.
+        """
         version, manifest, corpus = self._corpus(name)
-        for table, (added, gone, key) in changes.items():
-            touched = {r["b"] for df in (added, gone) if df is not None for r in df.select(self._bucket().alias("b")).distinct().collect()}
-            if not touched:
+        base = self._at("data", name.encode().hex(), uuid.uuid4().hex)
+        done: dict[int, DataFrame] = {}
+        listed: dict[tuple, tuple[str, int]] = {}
+        layer: dict = {"slices": {}, "documents": {}, "gone_key": {}, "gone_count": {}, "count": {"slices": 0, "documents": 0}, "grid": grid}
+        try:
+            for table, (added, gone, key) in changes.items():
+                if added is not None:
+                    at = f"{base}/{table}"
+                    written = self._write_rows(added.select(*self.spark.createDataFrame([], COLUMNS[table]).columns), table, at)
+                    if check and table == "slices":
+                        self.check_points(self.get_corpus_meta(name), written, grid)
+                    layer[table]["rows"], layer["count"][table] = at, written.count()
+                    done[id(added)] = written
+                if corpus["layers"]:
+                    if (id(gone), *key) not in listed:
+                        at = f"{base}/gone_{table}"
+                        done.get(id(gone), gone).select(*key).write.parquet(at)
+                        listed[id(gone), *key] = at, self.spark.read.parquet(at).count()
+                    layer[table]["gone"], layer["gone_count"][table] = listed[id(gone), *key]
+                    layer["gone_key"][table] = key
+            layers = [*corpus["layers"], layer]
+            if len(layers) > MOST_LAYERS:
+                changed = sum(x["count"]["slices"] for x in layers[1:])
+                first = 0 if changed >= FAIR_PART * max(1, layers[0]["count"]["slices"]) else 1
+                layers = [*layers[:first], self._merge(layers, first, base)]
+            corpus["layers"] = layers
+            self._flip(version, manifest)
+        except Exception:
+            remove(self.spark, base)
+            raise
+
+    def _merge(self, layers: list[dict], first: int, base: str) -> dict:
+        """Layers from `first` on as one: their rows that are left, and all keys they list as gone (for those before)."""
+        tail = layers[first:]
+        out: dict = {"slices": {}, "documents": {}, "gone_key": {}, "gone_count": {}, "count": {}, "grid": tail[-1]["grid"]}
+        for table in COLUMNS:
+            at = f"{base}/merged_{table}"
+            out["count"][table] = self._write_rows(self._merged(tail, table), table, at).count()
+            out[table]["rows"] = at
+            if not first:
                 continue
-            old = [corpus[table][str(b)] for b in sorted(touched) if str(b) in corpus[table]]
-            kept = self.spark.read.schema(COLUMNS[table]).parquet(*old) if old else self.spark.createDataFrame([], COLUMNS[table])
-            kept = kept.join(gone.select(*key).distinct(), key, "left_anti")
-            out = kept if added is None else kept.unionByName(added.select(*kept.columns))
-            base = f"{self.root}/data/{name.encode().hex()}/{table}/{uuid.uuid4().hex}"
-            order = [c for c in ("bucket", "size", "document_id", "codepoint_offset") if c == "bucket" or c in out.columns]
-            (
-                out.withColumn("bucket", self._bucket())
-                .repartition(F.col("bucket"), *(["size"] if table == "slices" else []))
-                .sortWithinPartitions(*order)
-                .write.partitionBy("bucket").parquet(base)
-            )
-            fs = self._fs()
-            for b in touched:
-                at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{base}/bucket={b}")
-                if fs.exists(at):
-                    corpus[table][str(b)] = f"{base}/bucket={b}"
-                else:
-                    corpus[table].pop(str(b), None)
-        self._flip(version, manifest)
+            keys, own = None, OWN_KEY[table]
+            before = self._merged(layers[:first], table).select(*own)
+            for layer in tail:
+                if layer[table].get("gone"):
+                    key = layer["gone_key"][table]
+                    some = before.join(self.spark.read.parquet(layer[table]["gone"]).select(*key), key, "left_semi")
+                    keys = some if keys is None else keys.unionByName(some)
+            if keys is not None:
+                keys.distinct().write.parquet(f"{base}/merged_gone_{table}")
+                out[table]["gone"], out["gone_key"][table] = f"{base}/merged_gone_{table}", own
+                out["gone_count"][table] = self.spark.read.parquet(out[table]["gone"]).count()
+        return out
+
+    def compact(self, name: str) -> None:
+        """All layers as one."""
+        version, manifest, corpus = self._corpus(name)
+        if len(corpus["layers"]) > 1:
+            corpus["layers"] = [self._merge(corpus["layers"], 0, self._at("data", name.encode().hex(), uuid.uuid4().hex))]
+            self._flip(version, manifest)
+
+    def vacuum(self, age: float = 7 * 24 * 3600) -> list[str]:
+        """Delete what no manifest of the last `age` seconds names, nor the newest: old manifests, and data older than that."""
+        before = time.time() - age
+        versions = self._versions()
+        changed = {n: t for n, t in self._listed("_manifest")}
+        kept = [v for v in versions if v == versions[-1] or changed.get(f"{v:010d}.json", 0) >= before]
+        manifests = [self._read(v) for v in kept]
+        named = {at for m in manifests for c in m["corpora"].values() for layer in c["layers"] for t in COLUMNS for at in layer[t].values()}
+        gone = [self._at("_manifest", n) for n, t in self._listed("_manifest") if t < before and n not in {f"{v:010d}.json" for v in kept}]
+        for corpus, _ in self._listed("data"):
+            for folder, t in self._listed("data", corpus):
+                at = self._at("data", corpus, folder)
+                if t < before and not any(x.startswith(f"{at}/") for x in named):
+                    gone.append(at)
+        for at in gone:
+            remove(self.spark, at)
+        return gone
 
     def check_points(self, config: CorpusConfig, points: DataFrame, grid_fingerprint: str) -> None:
         """All checks before any write."""
@@ -205,16 +306,14 @@ class Catalog:
         config = self.get_corpus_meta(name)
         if embedder_fingerprint not in (None, config.embedder_fingerprint):
             raise EmbedderMismatch(f"the corpus holds vectors of {config.embedder_fingerprint}")
-        self.check_points(config, points, grid_fingerprint)
-        self._rewrite(name, {"slices": (points, points, ["document_id", "point_id"])})
+        self._add(name, {"slices": (points, points, ["document_id", "point_id"])}, grid_fingerprint, check=True)
 
     def replace_documents(self, name: str, records: DataFrame, points: DataFrame, grid_fingerprint: str) -> None:
         """Documents with exactly these slices, in one flip: slices of an earlier version are gone with it."""
-        self.check_points(self.get_corpus_meta(name), points, grid_fingerprint)
-        self._rewrite(name, {"slices": (points, records, ["document_id"]), "documents": (records, records, ["document_id"])})
+        self._add(name, {"documents": (records, records, ["document_id"]), "slices": (points, records, ["document_id"])}, grid_fingerprint, check=True)
 
     def put_document_meta(self, name: str, records: DataFrame) -> None:
-        self._rewrite(name, {"documents": (records, records, ["document_id"])})
+        self._add(name, {"documents": (records, records, ["document_id"])})
 
     def get_document_meta(self, name: str, document_id: str) -> dict:
         r = self.documents(name).where(F.col("document_id") == document_id).limit(1).collect()
@@ -239,12 +338,12 @@ class Catalog:
     def delete_points(self, name: str, document_id: str, ids: Iterable[str]) -> None:
         """Unknown ids are ignored."""
         gone = self.spark.createDataFrame([(document_id, i) for i in ids], "document_id string, point_id string")
-        self._rewrite(name, {"slices": (None, gone, ["document_id", "point_id"])})
+        self._add(name, {"slices": (None, gone, ["document_id", "point_id"])})
 
     def delete_document(self, name: str, document_id: str) -> None:
         self.get_document_meta(name, document_id)
         gone = self.spark.createDataFrame([(document_id,)], "document_id string")
-        self._rewrite(name, {"slices": (None, gone, ["document_id"]), "documents": (None, gone, ["document_id"])})
+        self._add(name, {"slices": (None, gone, ["document_id"]), "documents": (None, gone, ["document_id"])})
 
     def search_size(self, name: str, size: int, queries: DataFrame, k: int) -> DataFrame:
         """The k best slices of one size for each query, with all their columns."""
@@ -274,7 +373,8 @@ def stats(slices: DataFrame, grid: Grid) -> DataFrame:
     return ladder.join(counts, "size", "left").select("size", F.coalesce("points", F.lit(0)).cast("long").alias("points"))
 
 
-STORES = {"parquet": Catalog}
+#: Makers of stores of (spark, root) by kind.
+STORES: dict[str, type] = {"parquet": Catalog}
 
 
 def available_stores() -> list[str]:

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 from lamina import errors
 from lamina.functions.embedders import FakeEmbedder
 from lamina.operators import evaluation
-from lamina.plans.engine import Engine, Settings, render_context, response
+from lamina.plans.engine import Engine, build_embedder, build_store, render_context, response
+from lamina.settings import Limits, Settings, Tools, load
 from lamina.sources import catalog
 from lamina.streaming.ingest import ingest_stream
 
@@ -13,8 +14,7 @@ LONG = "".join(chr(0x100 + i) for i in range(1024))
 
 @pytest.fixture(scope="module")
 def engine(spark, tmp_path_factory):
-    e = Engine(spark, f"file://{tmp_path_factory.mktemp('store')}", FakeEmbedder(8), Settings(max_document=5000, max_batch=3))
-    e.catalog.buckets = 4
+    e = Engine(spark, f"file://{tmp_path_factory.mktemp('store')}", FakeEmbedder(8), Settings(limits=Limits(max_document_codepoints=5000, max_batch_documents=3), tools=Tools(enable_document_tools=True)))
     e.create_corpus("docs")
     return e
 
@@ -101,6 +101,135 @@ def test_points_are_checked_before_any_write(engine, spark):
     assert engine.catalog.slices("docs").count() == n + 5
 
 
+def test_layers_are_merged_and_swept(engine, spark, monkeypatch):
+    e = Engine(spark, f"{engine.catalog.root}-layers", FakeEmbedder(4))
+    e.create_corpus("c", sizes=(2, 4))
+    e.ingest("c", spark.createDataFrame([(f"d{i}", "abcdefgh"[: 1 + i]) for i in range(6)], "document_id string, text string"))
+    want = {f"d{i}": "abcdefgh"[: 1 + i] for i in range(6)}
+
+    def texts():
+        out = {}
+        for r in e.catalog.slices("c").where("size = 2").orderBy("document_id", "codepoint_offset").collect():
+            out[r.document_id] = out.get(r.document_id, "") + r.text
+        return out
+
+    monkeypatch.setattr(catalog, "MOST_LAYERS", 3)
+    for i, t in enumerate(("xy", "z", "pq", "rstu", "v")):
+        e.put("c", f"d{i}", t)
+        want[f"d{i}"] = t
+        assert texts() == want and e.catalog.documents("c").count() == 6
+        assert len(e.catalog._corpus("c")[2]["layers"]) <= 3
+    e.delete("c", "d0")
+    want.pop("d0")
+    gone = next(iter(e.catalog.list_point_ids("c", "d5")[4]))
+    e.catalog.delete_points("c", "d5", [gone])
+    assert texts() == want and e.inspect("c")["degraded"] == []
+    before = e.catalog.slices("c").count()
+    e.catalog.compact("c")
+    assert texts() == want and e.catalog.slices("c").count() == before and len(e.catalog._corpus("c")[2]["layers"]) == 1
+    assert e.catalog.vacuum(3600) == [] and texts() == want
+    assert len(e.catalog.vacuum(-1)) > 5 and texts() == want and len(e.catalog._versions()) == 1
+    assert e.get("c", "d3")["codepoint_length"] == 4
+
+
+def test_a_corpus_that_is_damaged_is_said_to_be(engine, spark):
+    e = Engine(spark, f"{engine.catalog.root}-broken", FakeEmbedder(4))
+    e.create_corpus("c", sizes=(2, 4))
+    e.put("c", "a", "abcd")
+    version, manifest = e.catalog._manifest()
+    manifest["corpora"]["c"]["config"]["metric"] = "dot"
+    manifest["corpora"]["c"]["layers"][0]["grid"] = "other"
+    e.catalog._flip(version, manifest)
+    reasons = e.inspect("c")["degraded"]
+    assert any("metric dot" in r for r in reasons) and any("another grid" in r for r in reasons)
+    wide = Engine(spark, e.catalog.root, FakeEmbedder(5))
+    for call in (lambda: wide.put("c", "b", "x"), lambda: wide.query("c", spark.createDataFrame([(1, "q")], "query_id int, query string"))):
+        with pytest.raises(errors.EmbedderMismatch):
+            call()
+    catalog.remove(spark, manifest["corpora"]["c"]["layers"][0]["slices"]["rows"])
+    assert any("missing" in r for r in e.inspect("c")["degraded"])
+
+
+def test_a_vector_is_made_once(engine, spark, tmp_path):
+    """The embedder sees each text once an ingest, and a refused ingest leaves nothing behind."""
+
+    class Counting(FakeEmbedder):
+        def column(self, text):
+            at = str(tmp_path / "seen")
+
+            @F.udf("array<double>")
+            def one(t):
+                with open(at, "a") as f:
+                    f.write("x")
+                return FakeEmbedder(3).embed([t])[0]
+
+            return one(text)
+
+    e = Engine(spark, f"{engine.catalog.root}-once", Counting(3))
+    e.create_corpus("c", sizes=(2, 4))
+    e.ingest("c", spark.createDataFrame([("a", "abcd"), ("b", "efgh")], "document_id string, text string"))
+    assert (tmp_path / "seen").read_text() == "x" * 6
+    n = len(e.catalog._listed("data", b"c".hex()))
+    for bad, error in ((("", "x"), errors.SlicingError), (("n" * 513, "x"), errors.ValidationError), (("c", None), errors.SlicingError)):
+        with pytest.raises(error):
+            e.ingest("c", spark.createDataFrame([bad], "document_id string, text string"))
+    with pytest.raises(errors.ValidationError):
+        e.ingest("c", spark.createDataFrame([("c", "x"), ("c", "y")], "document_id string, text string"))
+    assert len(e.catalog._listed("data", b"c".hex())) == n and e.put_batch("c", [("n" * 513, "x")])[0]["code"] == "VALIDATION_ERROR"
+
+
+def test_tools_and_reports(engine, spark, tmp_path):
+    engine.add_document_tool("docs", "tool", LONG)
+    answer = engine.query_tool("docs", LONG[:64])
+    assert answer["budget"]["limit"] == 4000 and answer["trace"] is None and answer["text"].startswith("[") and answer["corpus"] == "docs"
+    own = [r for r in answer["results"] if r["retrieval"]["retrieved"]]
+    assert all(r["coords"]["codepoint_end"] == r["coords"]["codepoint_offset"] + r["coords"]["codepoint_length"] for r in answer["results"]) and all(r["retrieval"]["score"] is not None for r in own)
+    assert engine.list_corpora_tool() == {"corpora": ["docs"]}
+    assert engine.delete_document_tool("docs", "tool") == {"deleted": "tool"}
+    closed = Engine(spark, engine.catalog.root, FakeEmbedder(8))
+    with pytest.raises(errors.ValidationError):
+        closed.add_document_tool("docs", "x", "y")
+    (tmp_path / "q.txt").write_text("one query\nanother\n")
+    report = engine.evaluation_report("budget", "docs", str(tmp_path / "q.txt"), budget=500, out=f"file://{tmp_path}/out")
+    assert report["queries"] == 2 and report["budget"] == 500 and (tmp_path / "out" / "summary.json").exists()
+    assert "depth_distribution" in engine.evaluation_report("forest", "docs", str(tmp_path / "q.txt"))
+    assert "greedy_upward" in engine.info()["strategies"]
+
+
+def test_nothing_fits(engine, spark):
+    engine.put("docs", "find", LONG)
+    q = spark.createDataFrame([(1, LONG[:64])], "query_id int, query string")
+    r = engine.query("docs", q, budget=0)
+    t = r.trace.first()
+    assert t.budget_exhausted and t.results == 0 and len(t.warnings) == 1 and r.selection.count() == 0
+    assert engine.query("docs", q, budget=600).trace.first().warnings == []
+
+
+def test_settings_from_all_sources(spark, tmp_path):
+    f = tmp_path / "s.toml"
+    f.write_text('[store]\nroot = "there"\nsearch_timeout_s = 2\n[limits]\nmax_token_budget = 10\n[tools]\nenable_document_tools = true\n[unknown]\nx = 1\n')
+    env = {"LAMINA_LIMITS__MAX_TOKEN_BUDGET": "20", "LAMINA_DEFAULTS__GRID_SIZES": "[3, 6]", "LAMINA_LIMITS__MAX_BATCH_DOCUMENTS": "7"}
+    s = load(f, env, limits={"max_batch_documents": 9})
+    assert (s.store.root, s.store.search_timeout_s, s.limits.max_token_budget, s.limits.max_batch_documents) == ("there", 2.0, 20, 9)
+    assert s.defaults.grid_sizes == (3, 6) and s.tools.enable_document_tools and s.embedder.provider == "fake"
+    with pytest.raises(errors.ValidationError):
+        load(None, {"LAMINA_LIMITS__MAX_TOKEN_BUDGET": "many"})
+    e = build_embedder(load(None, {"LAMINA_EMBEDDER__PROVIDER": "openai", "LAMINA_EMBEDDER__MODEL": "m", "LAMINA_EMBEDDER__BASE_URL": "http://h", "LAMINA_EMBEDDER__API_KEY": "k"}))
+    assert (e.fingerprint(), e.base_url, e.api_key, e.max_concurrency) == ("openai:m", "http://h", "k", 4)
+    with pytest.raises(errors.ValidationError):
+        build_embedder(load(None, {"LAMINA_EMBEDDER__PROVIDER": "nope"}))
+    assert isinstance(build_store(spark, load(None, {"LAMINA_STORE__ROOT": f"file://{tmp_path}/x"})), catalog.Catalog)
+    with pytest.raises(errors.ValidationError):
+        build_store(spark, load(None, {"LAMINA_STORE__KIND": "other"}))
+
+
+def test_a_reader_sees_whole_manifests_only(engine):
+    from lamina.sources.shared import write_text
+
+    write_text(engine.spark, engine.catalog._at("_manifest", "_half.json"), "{")
+    assert engine.list_corpora() and engine.catalog.ping()
+
+
 def test_a_late_writer_fails(engine):
     version, manifest = engine.catalog._manifest()
     engine.put("docs", "w", "first")
@@ -118,7 +247,7 @@ def test_queries(engine, spark):
     assert first and all(x.text is not None for x in rows)
     assert all(t.tokens_used <= 600 for t in r.trace.collect()) and not r.partial
     assert render_context(r.selection).where("query_id = 1").first().context.startswith("[")
-    assert '"retrieval_score"' in response(r.selection).first().response
+    assert '"rank_in_size"' in response(r).first().response
     assert {x["status"] for x in r.fanout.collect()} == {"ok"}
     warned = engine.query("docs", q, budget=99_999_999, sizes=[64, 5], k=1)
     assert len(warned.warnings) == 2 and {e["size"] for x in warned.selection.collect() for e in x.evidence} == {64}
@@ -140,7 +269,7 @@ def test_evaluate_and_regress(engine, spark, tmp_path):
     one = summary.first()
     assert one.queries == 2 and one.budget == 600 and 0 < one.mean_utilization <= 1
     base = tmp_path / "summary.json"
-    base.write_text(evaluation.write_outputs(rows, summary)[1])
+    base.write_text(evaluation.outputs(rows, summary)[1])
     assert engine.regress("docs", str(p), str(base), budget=600).count() == 0
     off = {r.metric: r.current for r in engine.regress("docs", str(p), str(base)).collect()}
     assert "budget" in off and off["mean_utilization"] is None
@@ -165,14 +294,19 @@ def test_stream(engine, spark, tmp_path):
 
 def test_evaluation_files(spark, tmp_path):
     p = tmp_path / "q.jsonl"
-    p.write_text('{"query": "a b"}\n\n{"text": "c"}\nplain line\n')
-    assert sorted(r.query for r in evaluation.load_queries(spark, str(p)).collect()) == ["a b", "c", "plain line"]
+    p.write_text('{"query": "a b"}\n\n{"text": "c"}\nplain line\n{"query": "", "text": "b"}\n{"other": 1}\n\t {"query": "tab"} \u3000\n\u00a0padded\t\n \t \n')
+    assert sorted(r.query for r in evaluation.load_queries(spark, str(p)).collect()) == ["a b", "b", "c", "padded", "plain line", "tab"]
+    p.write_text("{no json\n")
+    with pytest.raises(Exception, match="not a JSON object"):
+        evaluation.load_queries(spark, str(p)).collect()
     rows = spark.createDataFrame([(1, 2, 3, 1, 0.5, 2, 0, 0, 10, None, None, False), (2, 1, 1, 0, 1.0, 1, 1, 0, 5, 10, 0.5, True)], "query_id int, results int, forest_hits long, forest_edges long, participation_rate double, max_depth int, trade_ups int, rejections int, tokens_used long, budget int, utilization double, partial boolean")
     s = evaluation.aggregate(rows)
     r = s.first()
     assert (r.mean_participation, r.min_participation, r.mean_utilization, r.partial_queries) == (0.75, 0.5, 0.5, 1)
     assert [tuple(x) for x in r.depth_distribution] == [(1, 1), (2, 1)]
-    text, js = evaluation.write_outputs(rows, s)
+    text, js = evaluation.outputs(rows, s)
+    evaluation.write_outputs(rows, s, f"file://{tmp_path}/out")
+    assert (tmp_path / "out" / "per_query.csv").read_text() == text and (tmp_path / "out" / "summary.json").read_text() == js
     assert text.splitlines()[1] == "1,2,3,1,0.5,2,0,0,10,,,False" and '"queries": 2' in js
     none = evaluation.aggregate(rows.limit(0)).first()
     assert none.queries == 0 and none.mean_depth == 0.0 and none.mean_utilization is None
