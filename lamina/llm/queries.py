@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, sharding
 from .ann import additive_search
 from .brown import lm_scores
 from .common import read
@@ -81,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_topk": OP1_SQL, "op7_mix": mixing.ORACLE}
+    return {"op1_exact_topk": OP1_SQL, "op2_lpt_shards": sharding.ORACLE, "op7_mix": mixing.ORACLE}
