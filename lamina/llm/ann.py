@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from .blocks import best, clean_vectors, fit_width, search_blocks
 
-#: The fit's sample: at most so many vectors, those of the smallest hashed ids.
-SAMPLE_ROWS = 16_384
+#: The fit's sample: at most so many vectors, those of the smallest hashed ids, and at most so many numbers (but 256 vectors).
+SAMPLE_ROWS, SAMPLE_NUMBERS = 16_384, 1 << 21
 
 
 @dataclass(frozen=True)
@@ -96,7 +96,7 @@ def additive_search(
     """query_id, rank, vec_id, score: the k nearest found by cosine, scores exact in double precision.
 
     vectors: vec_id, embedding. Queries are the rows whose id is divisible by query_every; candidates
-    all rows with another id. words is at most 256, so that a code is a byte. Codebooks are fitted on at most SAMPLE_ROWS vectors; every vector is
+    all rows with another id. words is at most 256, so that a code is a byte. Codebooks are fitted on at most SAMPLE_ROWS vectors and SAMPLE_NUMBERS numbers; every vector is
     encoded, scanned and may be reranked (`rerank` of each block of candidates).
 
     Defined cases: rows with a null id, a null, empty or zero vector or a null or non-finite component
@@ -108,8 +108,9 @@ def additive_search(
     fetch the reranked vectors by a join would move more, as `rerank` of each block and query add up to more bytes than the block.
     """
     clean = clean_vectors(vectors, nonzero=True)
-    rows = clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).collect()
-    width = max((len(r.v) for r in rows), default=1)
+    width = clean.agg(F.max(F.size("v"))).first()[0] or 1
+    most = max(256, min(SAMPLE_ROWS, SAMPLE_NUMBERS // width))
+    rows = clean.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).collect()
     sample = unit(np.array([r.v + [0.0] * (width - len(r.v)) for r in rows], dtype=np.float64).reshape(len(rows), width))
     model = clean.sparkSession.sparkContext.broadcast(fit(sample, books, words, beam)) if rows else None
 
