@@ -32,7 +32,7 @@ def test_imports_without_llm(tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no shared tables")
-@pytest.mark.parametrize("name", ["slice_geometry", "slice_markers", "descendant_markers", "marker_codec_roundtrip", "embedding_topk", "topk_per_size", "forest_closure", "dedup_classes", "first_fit_pack", "trade_up_unbounded"])
+@pytest.mark.parametrize("name", ["slice_geometry", "slice_markers", "descendant_markers", "marker_codec_roundtrip", "embedding_topk", "topk_per_size", "forest_closure", "dedup_classes", "first_fit_pack", "trade_up_unbounded", "trade_up_trace", "trade_up_options", "store_slices", "engine_answers"])
 def test_against_sql(spark, name):
     c = duckdb.connect()
     for t in ("documents", "embeddings", "benchmark"):

@@ -58,8 +58,10 @@ def test_bad_packed(spark, bad):
 def test_fake_vectors_agree(spark):
     e = embedders.FakeEmbedder(13)
     texts = ["", "a", "世界🙂", "x" * 1000]
-    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(e.column(F.col("t"))).collect()]
-    assert got == e.embed(texts)
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    got = [r[0] for r in df.where("t is not null").select(e.column(F.col("t"))).collect()]
+    assert got == e.embed(texts) == [r[0] for r in df.where("t is not null").select(exprs.fake_vector(F.col("t"), 13)).collect()]
+    assert df.where("t is null").select(e.column(F.col("t"))).first()[0] is None
     assert e.fingerprint() == "fake:deterministic-13" and all(abs(sum(x * x for x in v) - 1) < 1e-12 for v in got)
 
 
@@ -113,6 +115,7 @@ def test_http_embedders():
     assert registry.create("own", dim=5).dimension() == 5
     with pytest.raises(ValidationError):
         registry.create("nope")
+    assert callable(embedders.Registry("console_scripts").resolve("pytest")) and "pytest" in embedders.Registry("console_scripts").providers()
     plugged = embedders.Registry("lamina.no_such_group")
     assert plugged.plugins() == {} and plugged.providers() == ["fake", "ollama", "openai"]
     bad = embedders.OpenAICompatibleEmbedder("http://h", "m", post=lambda *a: (500, {}))

@@ -71,3 +71,20 @@ def test_partitions_do_not_matter(spark):
     a = slicing.slice_documents(d).orderBy(*slicing.KEY).collect()
     b = slicing.slice_documents(d.repartition(3, "text")).orderBy(*slicing.KEY).collect()
     assert a == b
+
+
+def test_other_ways_to_the_same_slices(spark):
+    """Tiles exploded at once, and slices cut by place, are those of the whole pass."""
+    d = frame(spark, ("a", MIX * 30), ("b", "世🙂" * 100), ("c", ""), ("d|e", "x" * 64)).repartition(3)
+    whole = slicing.slice_documents(d, counter=None)
+    plain = slicing.slice_documents(d, with_descendants=False, with_bytes=False)
+    cols = [c for c in plain.columns if c in whole.columns]
+    assert "byte_offset" not in plain.columns and sorted(map(tuple, plain.select(*cols).collect())) == sorted(map(tuple, whole.select(*cols).collect()))
+    places = [("a", 128, 256), ("a", 1024, 0), ("a", 1024, 1024), ("a", 64, 64), ("b", 64, 192), ("b", 64, 6400), ("c", 64, 0), ("d|e", 512, 0), ("none", 64, 0), ("a", 64, 7), ("a", 77, 0)]
+    keys = spark.createDataFrame([*places, places[0]], "document_id string, size int, codepoint_offset int")
+    cut = slicing.slices_at(d, keys)
+    assert set(cut.columns) == set(whole.columns)
+    want = whole.join(keys.distinct(), slicing.KEY, "left_semi")
+    assert sorted(map(str, cut.select(*whole.columns).collect())) == sorted(map(str, want.select(*whole.columns).collect())) and cut.count() == 6
+    assert [r.codepoint_offset for r in slicing.of_size(whole.where("document_id = 'b'"), 64).collect()] == [0, 64, 128, 192]
+    assert sorted(r.document_id for r in slicing.slice_at(whole, 128, 128).collect()) == ["a", "b"]
