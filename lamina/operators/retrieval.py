@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..errors import StoreUnavailable, ValidationError
 from ..grid import DEFAULT_GRID, Grid
-from ..sources.shared import materialise
+from ..sources.shared import few, materialise
 from .slicing import KEY
 
 #: Queries whose vectors are sent to every task at most; more of them meet the points block by block in a join.
@@ -186,15 +186,10 @@ def block_join(queries: DataFrame, points: DataFrame, score: Callable, schema: T
     return dealt.join(copied, "g").select("block", "asked").mapInArrow(meet, schema)
 
 
-def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most so many rows; reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def attach(found: DataFrame, slices: DataFrame) -> DataFrame:
     """Found keys with all columns of their slices but the vector. The finds (written, k a query and size) are sent to the slices
     if they are few."""
-    return slices.drop("vector").join(F.broadcast(found) if few(found) else found, [*KEY, "point_id"])
+    return slices.drop("vector").join(F.broadcast(found) if few(found, BROADCAST_ROWS) else found, [*KEY, "point_id"])
 
 
 def search_sizes(

@@ -207,6 +207,9 @@ def run_trade_up(packed: DataFrame, closure: DataFrame, queries: DataFrame, grid
     # Both sides may come from the same plan: one side's columns get identities of their own.
     closure = closure.select(*(F.col(c).alias(c) for c in closure.columns))
     schema = f"query_id {q_type}, results array<struct<{', '.join(_typed(RESULT))}>>, {TRACE}"
+    # Small rows, long work: queries stay dealt over all partitions, whatever their bytes.
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, closure = left.repartition(parts, "query_id"), closure.repartition(parts, "query_id")
     return left.groupBy("query_id").cogroup(closure.groupBy("query_id")).applyInPandas(kernel, schema)
 
 

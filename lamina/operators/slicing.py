@@ -9,8 +9,11 @@ from ..errors import SlicingError
 from ..functions.counters import Counter
 from ..functions.exprs import marker, slice_uuid
 from ..grid import DEFAULT_GRID, Grid
+from ..sources.shared import few
 
 KEY = ["document_id", "size", "codepoint_offset"]
+#: Documents whose places are broadcast at most.
+BROADCAST_DOCUMENTS = 50_000
 
 
 def check_text(document_id: object, text: object) -> None:
@@ -118,6 +121,8 @@ def slices_at(documents: DataFrame, keys: DataFrame, grid: Grid = DEFAULT_GRID,
     are left out. Only what is asked for is cut and hashed, and only documents that are asked for are read on."""
     asked = keys.select(*KEY).where(F.col("size").isin(*grid.sizes) & (F.col("codepoint_offset") % F.col("size") == 0)).distinct()
     places = asked.groupBy("document_id").agg(F.collect_list(F.struct("size", "codepoint_offset")).alias("places"))
+    # A few documents' places go to the documents, which then are not moved.
+    places = F.broadcast(places) if few(places, BROADCAST_DOCUMENTS) else places
     d = checked(documents).join(places, "document_id").withColumn("n", F.length("text"))
     at = d.select("document_id", F.col("text").alias("whole"), "n", F.explode("places").alias("p")).where("p.codepoint_offset < n")
     size, offset = F.col("p.size"), F.col("p.codepoint_offset")

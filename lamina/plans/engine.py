@@ -18,7 +18,7 @@ from ..operators import evaluation, retrieval, selection
 from ..operators.slicing import KEY, check_text, slice_documents
 from ..settings import Settings
 from ..sources.catalog import Catalog, CorpusConfig, load_store
-from ..sources.shared import materialise
+from ..sources.shared import few, materialise
 
 #: Signs of a corpus' name and of a document's id at most.
 NAME, DOCUMENT_ID = 128, 512
@@ -224,18 +224,19 @@ class Engine:
         vectors = queries.select("query_id", self.embedder.column(F.col("query")).alias("vector"))
         found, errors = retrieval.search_sizes(vectors, slices, asked, k, timeout=self.settings.store.search_timeout_s)
         fanout = retrieval.fan_out(queries, asked, found, errors)
+        # What was found and all that encloses it, read from the store once.
         healthy = slices.where(~F.col("size").isin(*errors)) if errors else slices
-        hits = materialise(retrieval.attach(found, healthy), "hits")
+        keys = found.select(*KEY).unionByName(retrieval.closure_keys(found, config.grid).select(*KEY)).distinct()
+        near = materialise(healthy.drop("vector").join(F.broadcast(keys) if few(found, retrieval.BROADCAST_ROWS) else keys, KEY), "near")
         chosen, trace = selection.select(
-            hits, options, healthy, grid=config.grid, counter=counters.get(counter), corpus=name, strategy=strategy, fusion=fusion if callable(fusion) else retrieval.FUSIONS[fusion]
-        )
-        chosen, trace = materialise(chosen, "chosen"), materialise(trace.withColumn("partial", F.lit(bool(errors))), "trace")
+            retrieval.attach(found, near), options, near, grid=config.grid, counter=counters.get(counter), corpus=name, strategy=strategy,
+            fusion=fusion if callable(fusion) else retrieval.FUSIONS[fusion],
+        )
+        trace = trace.withColumn("partial", F.lit(bool(errors)))
         facts = ["own_marker", "token_count", *(["text"] if include_text else [])]
-        few = F.broadcast(chosen) if retrieval.few(chosen) else chosen
-        answers = healthy.select(*KEY, "point_id", *facts).join(few, [*KEY, "point_id"], "right")
         return QueryResult(
-            answers, trace if include_trace else None, fanout, bool(errors), name, strategy if isinstance(strategy, str) else strategy.__name__, counter,
-            trace.select("query_id", "budget", "tokens_used", "warnings"), warned + more,
+            chosen.join(near.select(*KEY, "point_id", *facts), [*KEY, "point_id"], "left"), trace if include_trace else None, fanout, bool(errors), name,
+            strategy if isinstance(strategy, str) else strategy.__name__, counter, trace.select("query_id", "budget", "tokens_used", "warnings"), warned + more,
         )
 
     # Evaluation.

@@ -25,7 +25,7 @@ from ..operators.slicing import KEY
 from .shared import file_system, hadoop_path, read_text, remove, write_text
 
 #: Layers of a corpus before those above the base are merged; from this part of the base's rows on they are merged into it.
-MOST_LAYERS, FAIR_PART = 16, 0.25
+MOST_LAYERS, FAIR_PART = 8, 0.25
 #: Keys of gone rows that are sent to the scan at most; more of them go through a shuffle.
 BROADCAST_KEYS = 1_000_000
 METRIC = "cosine"

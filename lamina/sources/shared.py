@@ -81,6 +81,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, rows: int) -> bool:
+    """Whether df has at most so many rows; reads no more than that."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables that materialise() wrote and nothing reads any more, known by the files they read."""
     for df in tables:
