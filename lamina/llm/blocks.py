@@ -1,4 +1,4 @@
-"""Vectors in blocks: query blocks meet candidate blocks, so each task sees two bounded matrices."""
+"""Vectors in blocks: a batch of queries meets the candidates where they lie, block by block, so each task sees bounded matrices."""
 
 from __future__ import annotations
 
@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import map_batches
+from .common import map_batches, materialise
 
-#: Rows of a candidate and of a query block at most; the groups that query blocks are copied to, at least and for each core.
-CANDIDATE_ROWS, QUERY_ROWS, GROUPS, GROUPS_PER_CORE = 4096, 1024, 256, 4
-BLOCK_SCHEMA = "block_ids binary, lengths binary, vals binary, extra binary"
+#: Rows and numbers of a block of candidates at most, and rows of a task's first one, whose scores are all looked at; queries that meet it at a time.
+CANDIDATE_ROWS, CANDIDATE_NUMBERS, FIRST_ROWS, QUERY_ROWS = 16_384, 1 << 20, 1_024, 64
+#: Numbers (8 bytes each) of the queries that are sent to the tasks at once; more queries are searched batch after batch.
+SENT_NUMBERS = 1 << 22
+#: Tasks a core at most: each starts its best lists anew.
+TASKS_PER_CORE = 4
 
 
 def clean_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", nonzero: bool = False) -> DataFrame:
@@ -32,31 +35,41 @@ def clean_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     return out.where(F.exists("v", lambda x: x != 0)) if nonzero else out
 
 
-def to_blocks(vectors: DataFrame, rows: int, extra: Callable[[np.ndarray], bytes] | None = None) -> DataFrame:
-    """Pack (vec_id, v) into rows of at most `rows` vectors, as little-endian arrays, with what `extra` makes of their matrix."""
+def blocks_of(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of the rows of (vec_id, v), in order of id within a block; shorter vectors are padded with zeros. Blocks grow fourfold."""
+    held, rows, numbers, most = [], 0, 0, min(FIRST_ROWS, CANDIDATE_ROWS)
+    for batch in it:
+        at = 0
+        while at < batch.num_rows:
+            ids, m = unpack(part := batch.slice(at, most - rows))
+            held.append((ids, m))
+            at, rows, numbers = at + part.num_rows, rows + part.num_rows, max(numbers, m.shape[1])
+            if rows >= most or rows * numbers >= CANDIDATE_NUMBERS:
+                yield joined(held)
+                held, rows, numbers, most = [], 0, 0, min(4 * most, CANDIDATE_ROWS)
+    if held:
+        yield joined(held)
 
-    def pack(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in it:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                col = part.column("v")
-                lengths = np.asarray(col.value_lengths(), dtype="<i4")
-                ids, vals = np.asarray(part.column("vec_id"), dtype="<i8").tobytes(), np.asarray(col.flatten(), dtype="<f8").tobytes()
-                more = extra(unpack(ids, lengths.tobytes(), vals)[1]) if extra else b""
-                yield {"block_ids": [ids], "lengths": [lengths.tobytes()], "vals": [vals], "extra": [more]}
 
-    return map_batches(vectors.select("vec_id", "v"), pack, BLOCK_SCHEMA)
-
-
-def unpack(ids: bytes, lengths: bytes, vals: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpack(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Ids and the matrix; shorter vectors are padded with zeros."""
-    n, v = np.frombuffer(lengths, "<i4"), np.frombuffer(vals, "<f8")
+    col = batch.column("v")
+    n, v = np.asarray(col.value_lengths()), np.asarray(col.flatten(), dtype=np.float64)
     width = int(n.max()) if len(n) else 0
     if len(v) == len(n) * width:
-        return np.frombuffer(ids, "<i8"), v.reshape(len(n), width)
-    out = np.zeros((len(n), width))
-    out[np.arange(width)[None, :] < n[:, None]] = v
-    return np.frombuffer(ids, "<i8"), out
+        m = v.reshape(len(n), width)
+    else:
+        m = np.zeros((len(n), width))
+        m[np.arange(width)[None, :] < n[:, None]] = v
+    return np.asarray(batch.column("vec_id"), dtype=np.int64), m
+
+
+def joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks as one, in order of id."""
+    width = max(m.shape[1] for _, m in parts)
+    ids, m = np.concatenate([i for i, _ in parts]), np.concatenate([fit_width(m, width) for _, m in parts])
+    order = np.argsort(ids, kind="stable")
+    return ids[order], m[order]
 
 
 def fit_width(m: np.ndarray, width: int) -> np.ndarray:
@@ -85,52 +98,126 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
         wanted *= 4
 
 
-def search_blocks(
-    queries: DataFrame, candidates: DataFrame, prepare: Callable, kernel: Callable, k: int, score_type: str, extra: Callable[[np.ndarray], bytes] | None = None
-) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of every query over all candidate blocks.
-
-    prepare(candidate ids, matrix, extra) makes of a block what the kernel needs, once for all query blocks that meet it
-    in turn; kernel(query ids, query matrix, candidate ids, prepared) yields (query index, candidate
-    ids, scores) of at most k different candidates, the query's own id left out. An id that stands in several rows is one query
-    (its smallest vector) and one candidate (with its best score).
+def most_of_each(near: np.ndarray, ids: np.ndarray, own: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, candidate) of the scores (a row a query) that reach the query's least, its own id left out.
 
-    Query blocks are copied to a number of groups that is bounded by the cluster's size, candidate blocks are dealt over these,
-    and each meeting of two blocks gives k rows a query at most, so what is merged does not grow with the vectors' width.
+    ids are in order. Where more than k reach it, those of the k best ids, ties to the smaller.
     """
-    n = candidates.count()
+    n = near.shape[1]
+    reach = (near >= least[:, None]).ravel()
+    if len(reach) % 8 == 0:  # few do: eight are looked at in one
+        at = (np.flatnonzero(reach.view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+        at = at[reach[at]]
+    else:
+        at = np.flatnonzero(reach)
+    qi, ci = np.divmod(at, n)
+    kept = ids[ci] != own[qi]
+    qi, ci = qi[kept], ci[kept]
+    counts = np.bincount(qi, minlength=len(near))
+    if (counts <= k).all():
+        return qi, ci
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    out_q, out_c = [], []
+    for i in np.flatnonzero(counts):
+        at = ci[starts[i] : starts[i + 1]]
+        if len(at) > k:
+            at = at[best(near[i, at], ids[at], k)]
+        out_q.append(np.full(len(at), i))
+        out_c.append(at)
+    return np.concatenate(out_q), np.concatenate(out_c)
+
+
+class BestLists:
+    """The k best ids of each query so far, an id once, with its best score; least: what a score must reach to change a list."""
+
+    def __init__(self, n: int, k: int, dtype: type) -> None:
+        lowest = np.iinfo(dtype).min if np.issubdtype(dtype, np.integer) else -np.inf
+        self.k, self.count, self.least = k, np.zeros(n, dtype=np.int64), np.full(n, lowest, dtype=dtype)
+        self.ids, self.scores = np.zeros((n, k), dtype=np.int64), np.zeros((n, k), dtype=dtype)
+
+    def add(self, qi: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        if not len(qi):
+            return
+        rows = np.unique(qi)
+        r, c = np.nonzero(np.arange(self.k) < self.count[rows][:, None])
+        q = np.concatenate([rows[r], qi])
+        i = np.concatenate([self.ids[rows[r], c], ids])
+        s = np.concatenate([self.scores[rows[r], c], scores.astype(self.scores.dtype)])
+        # Ascending by score, so that no score is negated (the least long has no negative); read from behind.
+        order = np.lexsort((s, -i, q))[::-1]
+        q, i, s = q[order], i[order], s[order]
+        once = np.concatenate([[True], (q[1:] != q[:-1]) | (i[1:] != i[:-1])])
+        q, i, s = q[once], i[once], s[once]
+        order = np.lexsort((-i, s, q))[::-1]
+        q, i, s = q[order], i[order], s[order]
+        starts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+        place = np.arange(len(q)) - np.repeat(starts, np.diff(np.concatenate([starts, [len(q)]])))
+        kept = place < self.k
+        q, i, s, place = q[kept], i[kept], s[kept], place[kept]
+        self.ids[q, place], self.scores[q, place] = i, s
+        self.count[rows] = np.bincount(q, minlength=len(self.count))[rows]
+        full = rows[self.count[rows] == self.k]
+        self.least[full] = self.scores[full, self.k - 1]
+
+
+def dealt(candidates: DataFrame) -> DataFrame:
+    """The candidates in tasks that are not many for the cluster; dealt anew only if a few tasks hold most of the rows."""
     cores = candidates.sparkSession.sparkContext.defaultParallelism
-    groups = max(1, min(math.ceil(n / CANDIDATE_ROWS), max(GROUPS, GROUPS_PER_CORE * cores)))
-    cand = to_blocks(candidates, CANDIDATE_ROWS, extra).withColumn("g", F.pmod(F.xxhash64("block_ids"), F.lit(groups)).cast("int"))
+    of = candidates.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"))
+    r = of.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("tasks")).first()
+    if r["tasks"] and r["most"] > max(CANDIDATE_ROWS, 2 * r["n"] / cores):
+        return candidates.repartition(TASKS_PER_CORE * cores)
+    return candidates.coalesce(TASKS_PER_CORE * cores) if r["tasks"] > TASKS_PER_CORE * cores else candidates
+
+
+def search_blocks(queries: DataFrame, candidates: DataFrame, prepare: Callable, kernel: Callable, k: int, score_type: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best of every query over all candidates.
+
+    prepare(candidate ids, matrix) makes of a block, whose ids are in order, what the kernel needs, once for all queries;
+    kernel(query ids, query matrix, candidate ids, prepared, least) gives (query index, candidate index, score) of all candidates that
+    may be among the k best ids and whose score reaches the query's `least`, the query's own id left out. An id that stands in several rows is one
+    query (its smallest vector) and one candidate (with its best score).
+
+    Candidates stay where they are. Queries are sent to the tasks, at most SENT_NUMBERS numbers at once; further batches are searched
+    after that, each written before the next is sent. A task keeps k rows a query of all its blocks, and what they hold spares later blocks most
+    of the work. So nothing but k rows a query, task and batch is moved.
+    """
     own = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    q = to_blocks(own, QUERY_ROWS).select(
-        *(F.col(c).alias(f"q_{c}") for c in ("block_ids", "lengths", "vals")),
-        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"),
-    )
-    pairs = cand.join(q, "g").drop("g")
-
-    def score(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        held: tuple = (None, None, None, None)
-        for batch in it:
-            cols = {f: batch.column(f) for f in batch.schema.names}
-            for r in range(batch.num_rows):
-                block = tuple(cols[c][r].as_buffer() for c in ("block_ids", "lengths", "vals"))
-                # A candidate block's pairs come one after another.
-                if held[0] is None or not (block[0].equals(held[0]) and block[2].equals(held[1])):
-                    ids, m = unpack(*(b.to_pybytes() for b in block))
-                    held = (block[0], block[2], ids, prepare(ids, m, cols["extra"][r].as_py()))
-                ids, ready = held[2:]
-                qids, qm = unpack(*(cols[f"q_{c}"][r].as_py() for c in ("block_ids", "lengths", "vals")))
-                got = [(np.full(len(c), qids[i]), c, s) for i, c, s in kernel(qids, qm, ids, ready)]
-                if got:
-                    a, b, s = (np.concatenate(x) for x in zip(*got, strict=True))
-                    yield {"query_id": a, "vec_id": b, "score": s}
-
-    found = map_batches(pairs, score, f"query_id long, vec_id long, score {score_type}")
-    first = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return (
-        once.withColumn("rank", F.row_number().over(first))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    r = own.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()
+    batches = max(1, math.ceil(r["n"] * max(r["width"] or 1, 1) / SENT_NUMBERS))
+    candidates = dealt(candidates).select("vec_id", "v")
+    score_of = np.int64 if score_type == "long" else np.float64
+
+    def one(part: DataFrame) -> tuple[DataFrame, object]:
+        rows = part.toArrow().combine_chunks().to_batches()
+        ids, m = joined([unpack(b) for b in rows]) if rows and rows[0].num_rows else (np.zeros(0, dtype=np.int64), np.zeros((0, 0)))
+        held = part.sparkSession.sparkContext.broadcast((ids, m))
+
+        def score(it: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+            qids, q = held.value
+            lists = BestLists(len(qids), k, score_of)
+            for ids, m in blocks_of(it):
+                ready = prepare(ids, m)
+                for a in range(0, len(qids), QUERY_ROWS):
+                    b = min(a + QUERY_ROWS, len(qids))
+                    qi, ci, s = kernel(qids[a:b], q[a:b], ids, ready, lists.least[a:b])
+                    lists.add(qi + a, ids[ci], s)
+            for a in range(0, len(qids), 10_000):
+                r, c = np.nonzero(np.arange(k) < lists.count[a : a + 10_000, None])
+                yield {"query_id": qids[a + r], "vec_id": lists.ids[a + r, c], "score": lists.scores[a + r, c]}
+
+        found = map_batches(candidates, score, f"query_id long, vec_id long, score {score_type}")
+        first = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        ranked = once.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+        return ranked.select("query_id", "rank", "vec_id", "score"), held
+
+    if batches == 1:
+        return one(own)[0]
+    out = None
+    for b in range(batches):
+        found, held = one(own.where(F.pmod(F.xxhash64("vec_id"), F.lit(batches)) == b))
+        found = materialise(found, "nearest")
+        held.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out

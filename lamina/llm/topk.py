@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import best, clean_vectors, fit_width, search_blocks
+from .blocks import best, clean_vectors, fit_width, most_of_each, search_blocks
 
 #: Quantised components and scores are below this magnitude, or the query fails.
 LARGEST = 1 << 63
+#: A term that one row in so many has is accumulated over all rows.
+COMMON = 4
+#: Rows of a block that a query's list takes in unsorted at most.
+MOST_HITS = 64
 
 
 def postings_of(m: np.ndarray) -> list[tuple[np.ndarray | None, np.ndarray]]:
@@ -35,6 +37,26 @@ def accumulate(query: np.ndarray, postings: list, n: int) -> np.ndarray:
     return scores
 
 
+def terms_of(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
+    """The terms that most rows have and their weights, a row a term; and of each other term its number, rows and weights."""
+    common = np.count_nonzero(m, axis=0) * COMMON >= len(m)
+    rare = [(t, *p) for t, p in zip(np.flatnonzero(~common), postings_of(m[:, ~common]), strict=True)]
+    return common, np.ascontiguousarray(m[:, common].T), rare
+
+
+def accumulate_all(queries: np.ndarray, common: np.ndarray, weights: np.ndarray, rare: list) -> np.ndarray:
+    """accumulate() for several queries at once: a row of scores each.
+
+    Each common term adds the product of its weights in the queries and in all rows to the whole array, one term after another within
+    a matrix product; a rare term is scattered to the rows that have it. All sums must be exact in the kind of the arrays.
+    """
+    scores = queries[:, common] @ weights
+    for term, at, weight in rare:
+        if queries[:, term].any():
+            scores[:, slice(None) if at is None else at] += queries[:, [term]] * weight
+    return scores
+
+
 def whole(m: np.ndarray) -> np.ndarray:
     """Whole numbers as longs where all of them fit, else as Python's unbounded integers."""
     return m.astype(np.int64) if np.abs(m).max(initial=0.0) < LARGEST else np.frompyfunc(int, 1, 1)(m)
@@ -60,19 +82,28 @@ def exact_topk(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int
 
     clean = clean_vectors(vectors).select("vec_id", F.transform("v", quantised).alias("v"))
 
-    def prepare(ids: np.ndarray, m: np.ndarray, _: bytes) -> tuple:
-        columns = whole(m)
-        return columns, postings_of(columns), np.abs(m).max(initial=0.0)
+    def prepare(ids: np.ndarray, m: np.ndarray) -> tuple:
+        return m, np.abs(m).max(initial=0.0), {}
 
-    def kernel(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, prepared: tuple) -> Iterator[tuple]:
-        columns, postings, largest = prepared
+    def kernel(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, prepared: tuple, least: np.ndarray) -> tuple:
+        m, largest, made = prepared
         # What one side has beyond the other's width meets zeros.
-        q = fit_width(q, columns.shape[1])
-        if np.abs(q).sum(axis=1).max(initial=0.0) * largest < LARGEST / 2:
-            rows = whole(q)
+        q = fit_width(q, m.shape[1])
+        sums = np.abs(q).sum(axis=1).max(initial=0.0) * largest
+        for bits, kind in ((24, np.float32), (53, np.float64)):
+            if sums < 1 << bits:  # every sum on the way is a whole number that the kind holds, in whatever order
+                if kind not in made:
+                    made[kind] = terms_of(m.astype(kind))
+                scores = accumulate_all(q.astype(kind), *made[kind])
+                qi, ci = most_of_each(scores, ids, qids, least.astype(kind), max(k, MOST_HITS))
+                return qi, ci, scores[qi, ci].astype(np.int64)
+        columns = whole(m)
+        if sums < LARGEST / 2:
+            rows, postings = whole(q), postings_of(columns)
         else:  # a sum of products could leave the longs
             exact = np.frompyfunc(int, 1, 1)
             rows, postings = exact(q), postings_of(exact(columns))
+        got = []
         for i, row in enumerate(rows):
             scores = accumulate(row, postings, len(ids))
             others = np.flatnonzero(ids != qids[i])
@@ -80,8 +111,9 @@ def exact_topk(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int
                 scores[ids == qids[i]] = 0
             # Unbounded sums that fit no long raise OverflowError here.
             scores = scores.astype(np.int64)
-            at = others[best(scores[others], ids[others], k)] if len(others) < len(ids) else best(scores, ids, k)
-            yield i, ids[at], scores[at]
+            at = others[best(scores[others], ids[others], k)]
+            got.append((np.full(len(at), i), at, scores[at]))
+        return tuple(np.concatenate(x) for x in zip(*got, strict=True))
 
     queries = clean.where(F.pmod("vec_id", F.lit(query_every)) == 0)
     return search_blocks(queries, clean, prepare, kernel, k, "long").withColumn("rank", F.col("rank").cast("int"))

@@ -164,3 +164,38 @@ def test_repeated_vectors_keep_recall(spark):
         top = {i for i, _ in sorted(best_of.items(), key=lambda x: (-x[1], x[0]))[:5]}
         hits, total = hits + len(top & got[qid]), total + 5
     assert len(got) == 60 and hits / total >= 0.95
+
+
+def test_exact_in_many_batches_and_blocks(spark, monkeypatch):
+    """Queries beyond what is sent at once, over blocks that grow, of common and rare terms: the same as brute force."""
+    from lamina.llm import blocks
+
+    monkeypatch.setattr(blocks, "SENT_NUMBERS", 500)
+    monkeypatch.setattr(blocks, "CANDIDATE_ROWS", 160)
+    monkeypatch.setattr(blocks, "FIRST_ROWS", 10)
+    rng = np.random.default_rng(11)
+    m = rng.normal(size=(3000, 12)) * (rng.random((3000, 12)) < np.where(np.arange(12) % 2, 0.1, 0.9))
+    m[1000:1400] = m[7]  # many ties
+    q = np.floor(256 * m).astype(int)
+    got = {tuple(r) for r in exact_topk(spark.createDataFrame(list(enumerate(m.tolist())), "vec_id long, embedding array<double>").repartition(2)).collect()}
+    want = set()
+    for a in range(0, 3000, 50):
+        s = q @ q[a]
+        order = [int(j) for j in np.lexsort((np.arange(3000), -s)) if j != a][:5]
+        want |= {(a, n + 1, j, int(s[j])) for n, j in enumerate(order)}
+    assert got == want
+
+
+def test_the_sample_reaches_the_driver_once(spark, monkeypatch):
+    """What tasks send to the driver for the fit is bounded by the sample, not by the tasks."""
+    from lamina.llm import ann
+
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 256)
+    m = np.random.default_rng(12).normal(size=(12_000, 64))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(m.tolist())], "vec_id long, embedding array<double>").repartition(24)
+    conf = spark.sparkContext._jsc.sc().conf()
+    conf.set("spark.driver.maxResultSize", "1500k")
+    try:
+        assert additive_search(df).where("rank = 1").count() == 240
+    finally:
+        conf.set("spark.driver.maxResultSize", "1g")
