@@ -51,8 +51,9 @@ def slice_documents(
     with_descendants: bool = True,
     with_ids: bool = True,
     with_bytes: bool = True,
+    only: tuple[int, ...] | None = None,
 ) -> DataFrame:
-    """All slices of (document_id, text) at every size; an empty text has none.
+    """All slices of (document_id, text) at every size, or at some of them only; an empty text has none.
 
     Each size is tiled once and each tile hashed once; a slice's descendants are runs of the smaller
     sizes' marker arrays, and its byte offset is a look-up in the running byte lengths of the
@@ -62,7 +63,7 @@ def slice_documents(
     sizes = grid.sizes
     d = checked(documents).where(F.length("text") > 0).withColumn("n", F.length("text"))
     if not with_descendants and not with_bytes:
-        each = d.select("document_id", "n", "text", F.explode(grid.array()).alias("size"))
+        each = d.select("document_id", "n", "text", F.explode(grid.array() if only is None else F.array(*map(F.lit, only)).cast("array<int>")).alias("size"))
         cut = F.regexp_extract_all("text", F.concat(F.lit("(?s).{1,"), F.col("size"), F.lit("}")), F.lit(0))
         tile = each.select("document_id", "n", "size", F.posexplode(cut).alias("i", "text"))
         plain = tile.select(
@@ -101,7 +102,7 @@ def slice_documents(
 
         return F.transform(f"t{size}", one)
 
-    out = d.select("document_id", F.col("n").alias("document_codepoint_length"), F.explode(F.concat(*(of(s) for s in sizes))).alias("s"))
+    out = d.select("document_id", F.col("n").alias("document_codepoint_length"), F.explode(F.concat(*(of(s) for s in (sizes if only is None else only)))).alias("s"))
     cols = ["size", "codepoint_offset", "codepoint_length", "byte_offset", "byte_length"]
     out = out.select(
         F.lit(corpus).alias("corpus"), "document_id", *(F.col(f"s.{c}") for c in cols), "document_codepoint_length",

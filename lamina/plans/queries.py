@@ -5,9 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import counters
 from ..functions.embedders import FakeEmbedder, OllamaEmbedder, OpenAICompatibleEmbedder
@@ -409,13 +411,20 @@ _stores: dict[tuple[str, str], Engine] = {}
 def store_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records, page after page as a client reads them."""
     e = store(spark, sf_dir)
-    rows, cursor, page = [], None, 0
-    while True:
+    shape = "page int, document_id string, codepoint_length int, byte_length int, slice_count long, content_marker string, metadata string"
+    make = batches_of(spark, shape)
+    parts, cursor, page = [], None, 0
+    while page == 0 or cursor is not None:
         some, cursor = e.list_page("default", 1000, cursor)
-        rows += [(page, r["document_id"], r["codepoint_length"], r["byte_length"], r["slice_count"], r["content_marker"], ";".join(f"{m['key']}={m['value']}" for m in r["metadata"])) for r in some]
+        parts.append(make([(page, r["document_id"], r["codepoint_length"], r["byte_length"], r["slice_count"], r["content_marker"], ";".join(f"{m['key']}={m['value']}" for m in r["metadata"])) for r in some]))
         page += 1
-        if cursor is None:
-            return spark.createDataFrame(rows, "page int, document_id string, codepoint_length int, byte_length int, slice_count long, content_marker string, metadata string")
+    return spark.createDataFrame(pa.Table.from_batches(parts), shape)
+
+
+def batches_of(spark: SparkSession, shape: str) -> Callable[[list[tuple]], pa.RecordBatch]:
+    """Rows as an Arrow batch, which takes a small part of their room on the driver."""
+    arrow = to_arrow_schema(spark.createDataFrame([], shape).schema)
+    return lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(arrow), arrow, strict=True)], schema=arrow)
 
 
 def store_slices(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -314,3 +314,26 @@ def test_evaluation_files(spark, tmp_path):
     off = evaluation.compare_baseline(pairs(("a", "1.005"), ("b", "2"), ("c", "x")), pairs(("a", "1.0"), ("b", "1"), ("c", "y"), ("gone", "1")))
     assert [r.metric for r in off.collect()] == ["b", "c", "gone"]
     assert evaluation.as_metrics(s).count() == len(s.columns)
+
+
+def test_slices_that_can_be_made_anew_are_not_stored(spark, tmp_path):
+    """The store of a hashing embedder holds the texts, not their slices, and gives the slices that would have been stored."""
+    import os
+    import random
+
+    letters = random.Random(3)
+    d = spark.createDataFrame([(f"d{i}", "".join(letters.choices("abcdefghijklmnop", k=4000))) for i in range(30)], "document_id string, text string").coalesce(1)
+    e = Engine(spark, f"file://{tmp_path}/s", FakeEmbedder(32))
+    config = e.create_corpus("c")
+    e.ingest("c", d)
+    size = sum(os.path.getsize(os.path.join(at, f)) for at, _, names in os.walk(tmp_path) for f in names)
+    assert size < 2 * 30 * 4000
+    gone = sorted(e.catalog.list_point_ids("c", "d7")[128])[:2]
+    e.catalog.delete_points("c", "d7", gone)
+    flat = lambda rows: sorted(tuple(map(str, r)) for r in rows.collect())
+    points = e.points(config, d)
+    want = flat(points.where(~F.col("point_id").isin(gone)).select(*e.catalog.slices("c").columns))
+    assert flat(e.catalog.slices("c")) == want
+    e.catalog.compact("c")
+    assert flat(e.catalog.slices("c")) == want and len(e.catalog._corpus("c")[2]["layers"]) == 1
+    assert sum(e.catalog.corpus_stats("c")[1].values()) == len(want) == e.catalog._corpus("c")[2]["layers"][0]["count"]["slices"]
